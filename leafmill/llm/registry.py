@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, quality_classifier, sentencepiece_codec, sharding, toxicity
+from . import chat_format, exact_dedup, mixing, quality_classifier, quality_rules, sentencepiece_codec, sharding, toxicity
 
 QUERIES = {
     "op2_sentencepiece": sentencepiece_codec.op2_sentencepiece,
+    "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_mixing": mixing.op4_mixing,
     "op5_quality_classifier": quality_classifier.op5_quality_classifier,
     "op6_sharding": sharding.op6_sharding,
+    "op7_chat_format": chat_format.op7_chat_format,
     "op8_toxicity": toxicity.op8_toxicity,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
