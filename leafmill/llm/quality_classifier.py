@@ -175,5 +175,22 @@ def score_documents(docs: DataFrame, labels: DataFrame, held_out: int = 1, folds
     return named.select("doc_id", out, "text").mapInArrow(work, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, held_out: int = 1, folds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, without the rows that score_documents() predicts 0; all columns as they are, and nothing is shuffled."""
+    named = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    weights, a, b = learn(named, labels, fold("doc_id", folds) != held_out)
+    model = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float32), a, b))
+    at = docs.columns.index(text_col)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, shapes = Words(), Shapes()
+        weights, a, b = model.value
+        for batch in batches:
+            rows = [features(words, shapes, t or "") for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(a * margins(weights, rows).astype(float) + b >= 0, type=pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

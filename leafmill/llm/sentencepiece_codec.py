@@ -19,6 +19,7 @@ from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -252,10 +253,18 @@ def round_trip(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: s
 
 def encode_documents(docs: DataFrame, model: dict, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """docs with `ids_col`: the ids of each text with the end id (null texts as empty). A column of that name is replaced."""
+
     def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = Codec(model)
         for texts in batches:
-            yield pa.array([[*codec.encode(t), codec.end_id] for t in texts.to_pylist()], type=pa.list_(pa.int32()))
+            rows = []
+            for text in texts.to_pylist():
+                found = [p[1] for p in codec.encoded(text)]
+                found.append((codec.end_id,))
+                rows.append(np.fromiter(chain.from_iterable(found), dtype=np.int32))
+            bounds = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+            flat = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int32)
+            yield pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))
 
     ship_code(docs.sparkSession)
     return docs.withColumn(ids_col, F.arrow_udf(work, "array<int>")(text_or_empty(text_col)))
