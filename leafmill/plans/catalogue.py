@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import documents, operations, tables
+
+QUERIES: dict = documents.QUERIES | tables.QUERIES | operations.QUERIES
+ORACLE_SQL: dict[str, str] = documents.ORACLE_SQL | tables.ORACLE_SQL | operations.ORACLE_SQL
