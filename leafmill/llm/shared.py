@@ -2,53 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..staging import discard, shared_folder, written
+
+__all__ = ["SPACE", "SPACE_CHARS", "WORD", "discard", "running_totals", "shared_folder", "shuffle_partitions", "text_or_empty", "word_count", "written"]
+
 #: Java pattern of white space between words; a word is a maximal run of anything else.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 #: The same characters, literally, for translate() and trim().
 SPACE_CHARS = " \t\n\x0b\f\r"
 
-_own_folder: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share.
-
-    Where it is unset a temporary folder is made, which is right only if driver and executors are one machine, as
-    in tests; on a cluster that is refused.
-    """
-    if folder := spark.conf.get("spark.checkpoint.dir", None):
-        return folder
-    context = spark.sparkContext
-    if not context.master.startswith("local[") and context.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return _own_folder.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="leafmill-"))
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, computed once and reread from a table in the shared folder: lineage ends there, and losing executors
-    costs only what they were computing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/leafmill/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    table._leafmill_path = path
-    return table
-
-
-def discard(table: DataFrame) -> None:
-    """Deletes the files of a table that written() made and that nothing reads any more."""
-    spark = table.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(table._leafmill_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
