@@ -211,12 +211,13 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spans = (
         mix.taken_pieces()
         .groupBy("row_no")
-        .agg(F.array_sort(F.collect_list(F.struct("from_word", "words", "times"))).alias("__spans"), F.sum("words").alias("__seen"))
+        .agg(F.array_sort(F.collect_list(F.struct("from_word", "words", "times"))).alias("__spans"))
+        .withColumnRenamed("row_no", "__span_row")
     )
     sized = mix.rows.select(F.col("row_no").alias("__no"), F.col("size").alias("__size"))
     joined = (
         kept.join(sized, F.col("__row_no") == F.col("__no"))
-        .join(spans, F.col("__row_no") == F.col("row_no"), "left")
+        .join(spans, F.col("__row_no") == F.col("__span_row"), "left")
         .where((F.col("__size") == 0) | F.col("__spans").isNotNull())
     )
     passes = F.when(F.col("__size") == 0, F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), F.array_max("__spans.times").cast("int")))
