@@ -99,9 +99,13 @@ def dual_descent(rows: list[np.ndarray], values: list[np.ndarray], label: np.nda
     return w
 
 
+def one_class(label: np.ndarray) -> bool:
+    return not len(label) or label.min() == label.max()
+
+
 def fit(rows: list[np.ndarray], label: np.ndarray, size: int) -> np.ndarray:
     """Weights over buckets for a row's indicators divided by the root of their number; the last is the bias."""
-    if label.min(initial=1) == label.max(initial=0):  # one class, or none: nothing to tell apart
+    if one_class(label):  # nothing to tell apart
         return np.zeros(size + 1)
     ratio = class_ratio(rows, label, size)
     values = [ratio[x] / np.sqrt(max(1, len(x))) for x in rows]
@@ -117,7 +121,7 @@ def margins(weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
 
 def train(rows: list[np.ndarray], label: np.ndarray, size: int) -> tuple[np.ndarray, float, float]:
     """Weights, and the a and b that turn a margin into a probability."""
-    if label.min(initial=1) == label.max(initial=0):
+    if one_class(label):
         return np.zeros(size + 1), 0.0, 30.0 * (2 * float(label.mean() if len(label) else 0.5) - 1)
     part = np.arange(len(rows)) % FOLDS
     seen = np.zeros(len(rows))
