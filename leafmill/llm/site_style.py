@@ -3,8 +3,8 @@
 The pages of a host are merged into one tree: a node is an element's path (tags, with classes without digits), and for
 each node the pages' presentations (the sequence of its child elements) and contents (the text right in it) are
 counted. A node's importance is a mix of the entropies of the two, as shares of the largest entropy that so many pages
-could have: what looks and reads the same on every page has importance 0. Branches below LEAST importance are removed from each
-page, if enough pages of the host have them.
+could have: what looks and reads the same on every page has importance 0. A branch has the importance of its most
+important node. Branches below LEAST are removed from each page, if enough pages of the host have them.
 
 Two presentations decide by themselves, before any counting: elements that HTML itself or their class calls a menu,
 header, footer, sidebar, notice, advert, form, comment or script have importance 0; an article or main element has
@@ -240,7 +240,12 @@ def style_tree(pages: DataFrame) -> DataFrame:
     share = F.when(n > 1, (F.log(n) - F.sum(F.col("n") * F.log("n")) / n) / F.log(n)).otherwise(1.0)
     kinds = values.groupBy("host", "path", "kind").agg(share.alias("share"), n.alias("n_pages"))
     weight = F.when(F.col("kind") == 1, CONTENT_SHARE).otherwise(1 - CONTENT_SHARE)
-    return kinds.groupBy("host", "path").agg(F.sum(F.col("share") * weight).alias("importance"), F.max("n_pages").alias("n_pages"))
+    own = kinds.groupBy("host", "path").agg(F.sum(F.col("share") * weight).alias("own"), F.max("n_pages").alias("n_pages"))
+    # a branch is as important as the most important node in it
+    steps = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(2), F.size(steps)), lambda k: F.array_join(F.slice(steps, 1, k), "/"))
+    branch = own.select("host", "own", F.explode(above).alias("path")).groupBy("host", "path").agg(F.max("own").alias("importance"))
+    return own.join(branch, ["host", "path"]).select("host", "path", "importance", "n_pages")
 
 
 def removed_branches(pages: DataFrame) -> DataFrame:
