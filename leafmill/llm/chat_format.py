@@ -157,3 +157,24 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     planted = spark.createDataFrame([(-1, 0, "user", PLANTED), (-1, 1, "assistant", PLANTED)], "conv_id long, turn long, role string, text string")
     return read_back(windows(rows.unionByName(planted)))
+
+
+#: For the default budget and history.
+ORACLE_SQL = r"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')) p(conv_id, turn, role, text)),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS nth FROM r),
+t AS (SELECT *, CAST(ceil((length(role) + length(text)) / 4.0) AS BIGINT) + 4 AS tokens, nth = 1 AND role = 'system' AS is_system,
+    length('<|im_start|>' || replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '<|nl|>') || chr(10) || replace(replace(text, '\', '\\'), '<|', '<\|') || '<|im_end|>' || chr(10)) AS chars FROM n),
+s AS (SELECT *, CASE WHEN is_system THEN 0 ELSE tokens END AS own, sum(CASE WHEN is_system THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id ORDER BY nth) AS total FROM t),
+p AS (SELECT *, own > 768 AS large, floor((total - 1) / 768.0) AS span FROM s),
+b AS (SELECT *, CASE WHEN nth = 1 THEN false ELSE (span <> lag(span) OVER w OR large OR lag(large) OVER w) AND NOT (nth = 2 AND lag(role) OVER w = 'system') END AS starts
+    FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY nth)),
+k AS (SELECT *, sum(CAST(starts AS INTEGER)) OVER (PARTITION BY conv_id ORDER BY nth) AS win FROM b),
+c AS (SELECT *, own > 0 AND tokens <= 256 AND (coalesce(lead(win, 1) OVER w <> win, false) OR coalesce(lead(win, 2) OVER w <> win, false)) AS again FROM k WINDOW w AS (PARTITION BY conv_id ORDER BY nth))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY nth)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY nth) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(chars * (1 + CAST(again AS INTEGER))) + max(CASE WHEN is_system THEN chars ELSE 0 END) * max(win) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""

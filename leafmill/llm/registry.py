@@ -19,5 +19,6 @@ QUERIES = {
 
 #: Where SQL cannot express a query (it searches, draws or learns), tests/llm compares it with brute force instead.
 ORACLE_SQL = {
+    "op7_chat_format": chat_format.ORACLE_SQL,
     "op10_exact_dedup": exact_dedup.ORACLE_SQL,
 }
