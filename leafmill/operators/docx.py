@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import re
+import struct
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
@@ -359,3 +361,62 @@ def pages_of(files: DataFrame, doc: str = "doc_id", content: str = "content") ->
     ship_code(files.sparkSession)
     kind = files.schema[doc].dataType.simpleString()
     return files.select(doc, content).mapInArrow(work, f"{doc} {kind}, page int, html string, explicit_breaks int, rendered_breaks int, n_sections int, warnings array<string>, error string")
+
+
+#: Image types that are taken from word files, and their bounds.
+IMAGE_STARTS = {b"\x89PNG\r\n\x1a\n": "image/png", b"\xff\xd8\xff": "image/jpeg", b"GIF8": "image/gif", b"BM": "image/bmp"}
+IMAGE_BYTES, IMAGE_PIXELS = 20 << 20, 40_000_000
+
+
+def image_size(data: bytes) -> tuple[int, int] | None:
+    """Width and height from the header of a PNG, GIF, BMP or JPEG."""
+    if data.startswith(b"\x89PNG") and len(data) >= 24:
+        return struct.unpack(">II", data[16:24])
+    if data.startswith(b"GIF8") and len(data) >= 10:
+        return struct.unpack("<HH", data[6:10])
+    if data.startswith(b"BM") and len(data) >= 26:
+        width, height = struct.unpack("<ii", data[18:26])
+        return width, abs(height)
+    at = 2
+    while data.startswith(b"\xff\xd8") and at + 9 < len(data) and data[at] == 0xFF:
+        kind, length = data[at + 1], struct.unpack(">H", data[at + 2 : at + 4])[0]
+        if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
+            height, width = struct.unpack(">HH", data[at + 5 : at + 9])
+            return width, height
+        at += 2 + length
+    return None
+
+
+def images_of(files: DataFrame, doc: str = "doc_id", content: str = "content") -> DataFrame:
+    """doc, name, media_type, sha, size_bytes, omitted of the images in word files: one row for each content of a file,
+    under the first name that has it. Unknown types and images beyond the bounds are omitted, with the reason."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen = set()
+                try:
+                    with zipfile.ZipFile(io.BytesIO(data or b"")) as z:
+                        for info in sorted((i for i in z.infolist() if i.filename.startswith("word/media/")), key=lambda i: i.filename):
+                            if info.file_size > IMAGE_BYTES:
+                                rows.append((doc_id, info.filename, None, None, info.file_size, "too large"))
+                                continue
+                            raw = z.read(info)
+                            sha = hashlib.sha256(raw).hexdigest()
+                            if sha in seen:
+                                continue
+                            seen.add(sha)
+                            media = next((m for s, m in IMAGE_STARTS.items() if raw.startswith(s)), None)
+                            shape = image_size(raw) if media else None
+                            reason = "unknown type" if media is None else "too many pixels" if shape is None or shape[0] * shape[1] > IMAGE_PIXELS else None
+                            rows.append((doc_id, info.filename, media, sha, len(raw), reason))
+                except (zipfile.BadZipFile, OSError, RuntimeError):
+                    continue
+            types = [batch.schema.field(0).type, pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()]
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names=[doc, "name", "media_type", "sha", "size_bytes", "omitted"])
+
+    ship_code(files.sparkSession)
+    kind = files.schema[doc].dataType.simpleString()
+    return files.select(doc, content).mapInArrow(work, f"{doc} {kind}, name string, media_type string, sha string, size_bytes long, omitted string")

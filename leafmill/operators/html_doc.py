@@ -238,3 +238,44 @@ def documents(pages: DataFrame, doc: str = "doc_id", html: str = "html") -> Data
     return drawn.alias("d").join(placed.alias("t"), F.col("d.doc_id") == F.col("t.doc_id"), "left").select(
         F.col("d.doc_id").alias(doc), text.alias("markdown"), "r.comments", "r.images", "r.tables", "r.error"
     )
+
+
+_PAGE = pa.list_(_OUT)
+
+
+@arrow(f"array<{_DDL}>")
+def _rendered_pages(documents: pa.Array) -> pa.Array:
+    out = []
+    for pages in documents.to_pylist():
+        headings: list[str] = []
+        tables, done = 0, []
+        for html in pages or []:
+            above: list[dict] = []
+
+            def place(table: Element, table_id: str, path: list[str], above=above) -> str:
+                above.append({"table_id": table_id, "path": path})
+                return _place(table, table_id, path)
+
+            body, comments = clean(html or "")
+            drawn = Markdown(place, tables + 1, headings)
+            text = drawn.block(body) if body.tag else blocks([drawn.block(n) for n in body.nodes])
+            done.append({"markdown": text, "comments": comments, "images": drawn.images, "tables": drawn.next_table - 1 - tables, "error": None, "headings": above})
+            headings, tables = drawn.headings, drawn.next_table - 1
+        out.append(done)
+    return pa.array(out, type=_PAGE)
+
+
+def paged_documents(pages: DataFrame, doc: str = "doc_id", page: str = "page", html: str = "html") -> DataFrame:
+    """doc, page, markdown, tables, headings of the pages of a document: headings and table numbers go on from page to
+    page. A document's pages meet in one row; documents have a bounded number of pages."""
+    ship_code(pages.sparkSession)
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(page).alias("p"), F.col(html).alias("h"))))
+    joined = pages.groupBy(doc).agg(ordered.alias("all")).select(doc, "all", _rendered_pages(F.transform("all", lambda s: s["h"])).alias("out"))
+    each = joined.select(doc, F.explode(F.arrays_zip(F.transform("all", lambda s: s["p"]).alias("p"), "out")).alias("e"))
+    return each.select(doc, F.col("e.p").alias("page"), F.col("e.out.markdown").alias("markdown"), F.col("e.out.tables").alias("tables"), F.col("e.out.headings").alias("headings"))
+
+
+def with_page_markers(pages: DataFrame, doc: str = "doc_id", name: str = "WORD_PAGE") -> DataFrame:
+    """doc, markdown: the pages of paged_documents() behind their markers."""
+    marked = F.concat(F.lit(f"<!-- {name}:"), F.col("page").cast("string"), F.lit(" -->\n\n"), F.coalesce("markdown", F.lit("")))
+    return pages.groupBy(doc).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", marked.alias("t")))), lambda s: s["t"]), "\n\n").alias("markdown"))

@@ -72,12 +72,10 @@ def revoke(keys: DataFrame, key_id, user_id) -> DataFrame:
 def register(users: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """New users that no name or mail stands against, and those that exist already; of equal new ones the first counts."""
     taken = users.select(F.lower("username").alias("__u"), F.lower("email").alias("__e"))
-    clash = (F.lower("username") == F.col("__u")) | (F.lower("email") == F.col("__e"))
     names, mails = taken.select("__u").distinct(), taken.select("__e").distinct()
     free = new.join(names, F.lower("username") == F.col("__u"), "left_anti").join(mails, F.lower("email") == F.col("__e"), "left_anti")
     first = lambda df, c: df.withColumn("__n", F.row_number().over(Window.partitionBy(F.lower(c)).orderBy("user_id"))).where("__n = 1").drop("__n")
     free = first(first(free, "username"), "email")
-    del clash
     return free, new.join(free.select("user_id"), "user_id", "left_anti")
 
 
