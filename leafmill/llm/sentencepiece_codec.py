@@ -28,10 +28,10 @@ from ..ship import ship_code
 from .shared import text_or_empty
 
 SPACE = "▁"
-#: A worker forgets what it has kept beyond this many parts; it only saves time.
-KEPT_PARTS = 400_000
-#: Runs of spaces have pieces of equal score; they are merged directly.
-_RUN = re.compile(f"{SPACE}{SPACE}")
+#: A worker keeps the parts of late, between one and two times so many: some 400 MB. It only saves time.
+KEPT_PARTS = 1_000_000
+#: Pairs of pieces whose compatibility a worker remembers: some 70 MB.
+KEPT_PAIRS = 1_000_000
 
 
 def _each_byte(e: UnicodeError) -> tuple[str, int]:
@@ -56,6 +56,7 @@ def read_model(path: str) -> dict:
     if unusual or not model.trainer_spec.byte_fallback:
         raise ValueError("models with user-defined or unused pieces, or without byte fallback, can't be used")
     return {
+        "key": hashlib.sha256(model.SerializeToString(deterministic=True)).hexdigest(),
         "pieces": [p.piece for p in model.pieces],
         "scores": [p.score for p in model.pieces],
         "normal": [p.type == kind.NORMAL for p in model.pieces],
@@ -88,14 +89,15 @@ class Codec:
         if inner:
             raise ValueError("a piece joins two words")
         self.known = known
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.machine = ahocorasick.Automaton()
         for piece, i in self.ids.items():
             if self.merge(piece) == [i]:  # a piece that its own merges don't reach never stands in an encoding
                 self.machine.add_word(piece, (i, len(piece)))
         self.machine.make_automaton()
         self.parts: dict[str, tuple[str, tuple[int, ...]]] = {}
-        self.split = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+").findall
+        self.older: dict[str, tuple[str, tuple[int, ...]]] = {}
+        self.split = re.compile("\n| *[^ \n]+| +").findall
 
     def merge(self, text: str) -> list[int]:
         """The encoding of a text of known characters by its merges: highest score first, leftmost of equals."""
@@ -128,53 +130,52 @@ class Codec:
     def as_bytes(self, text: str) -> list[int]:
         return [self.byte_ids[b] for b in text.encode()]
 
-    def compatible(self, a: int, b: int, first: str, second: str) -> bool:
-        found = self.pairs.get((a, b))
-        if found is None:
-            if len(self.pairs) > 4_000_000:
-                self.pairs.clear()
-            found = self.pairs[a, b] = self.merge(first + second) == [a, b]
+    def compatible(self, a: int, b: int, joined: str) -> bool:
+        """Whether merging the joined text of pieces a and b gives these two."""
+        if len(self.pairs) > KEPT_PAIRS:
+            self.pairs.clear()
+        found = self.pairs[a << 32 | b] = self.merge(joined) == [a, b]
         return found
 
     def search(self, text: str) -> list[int]:
         """The encoding of a text of known characters by backtracking."""
         size = len(text)
-        starts: list[list[tuple[int, int]]] = [[] for _ in range(size)]
+        starts: list[list[tuple[int, int]]] = [[] for _ in range(size + 1)]
         for end, (i, n) in self.machine.iter(text):
-            starts[end - n + 1].append((n, i))
-        for options in starts:
-            options.sort()  # the longest last
+            starts[end - n + 1].append((n, i))  # the longest comes last
         failed = bytearray(size // 8 + 1)
-        path: list[tuple[int, int, int, list]] = []  # position, length, id, shorter options that are left
-        at, options = 0, list(starts[0])
+        path: list[tuple[int, int, int]] = []  # position, id, shorter pieces that are left there
+        known = self.pairs.get
+        at, last, start, left = 0, -1, 0, len(starts[0])
         while at < size:
-            taken = None
-            while options:
-                n, i = options.pop()
+            options = starts[at]
+            while left:
+                left -= 1
+                n, i = options[left]
                 to = at + n
                 if failed[to >> 3] >> (to & 7) & 1:
                     continue
-                if path:
-                    p, m, j, _ = path[-1]
-                    if not self.compatible(j, i, text[p : p + m], text[at:to]):
+                if last >= 0:
+                    fits = known(last << 32 | i)
+                    if fits is None:
+                        fits = self.compatible(last, i, text[start:to])
+                    if not fits:
                         continue
-                taken = n, i
+                path.append((at, i, left))
+                start, at, last, left = at, to, i, len(starts[to])
                 break
-            if taken:
-                path.append((at, *taken, options))
-                at += taken[0]
-                options = list(starts[at]) if at < size else []
             else:
                 failed[at >> 3] |= 1 << (at & 7)
-                at, _, _, options = path.pop()
-        return [i for _, _, i, _ in path]
+                at, _, left = path.pop()
+                start, last = (path[-1][0], path[-1][1]) if path else (0, -1)
+        return [i for _, i, _ in path]
 
     def encode_part(self, part: str) -> list[int]:
         out: list[int] = []
         for is_known, piece in self.runs(part):
             if not is_known:
                 out += self.as_bytes(piece)
-            elif _RUN.search(piece):
+            elif SPACE + SPACE in piece:  # runs of spaces have pieces of equal score; they are merged directly
                 out += self.merge(piece)
             else:
                 out += self.search(piece)
@@ -183,7 +184,7 @@ class Codec:
     def runs(self, part: str) -> list[tuple[bool, str]]:
         """The part, cut at characters that have no piece."""
         known = self.known
-        if all(c in known for c in part):
+        if known.issuperset(part):
             return [(True, part)] if part else []
         found: list[tuple[bool, str]] = []
         start = 0
@@ -201,15 +202,21 @@ class Codec:
         """Part by part: the ids as text, and the ids."""
         if not text:
             return []
+        # spaces stand for the space mark up to here, which keeps most strings at a byte a character
+        if SPACE in text:
+            text = text.replace(SPACE, " ")
         kept, out = self.parts, []
-        for part in self.split(self.prefix + text.replace(" ", SPACE)):
+        for part in self.split(" " + text if self.prefix else text):
             found = kept.get(part)
             if found is None:
-                if len(kept) >= KEPT_PARTS:
-                    kept.clear()
-                ids = tuple(self.encode_part(part))
-                found = (" ".join(map(str, ids)), ids)
+                found = self.older.get(part)
+                if found is None:
+                    ids = tuple(self.encode_part(part.replace(" ", SPACE)))
+                    found = (" ".join(map(str, ids)), ids)
                 if len(part) <= 64:
+                    if len(kept) >= KEPT_PARTS:
+                        self.older, self.parts = kept, {}
+                        kept = self.parts
                     kept[part] = found
             out.append(found)
         return out
@@ -220,6 +227,17 @@ class Codec:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
+_made: dict[str, Codec] = {}
+
+
+def codec_of(model: dict) -> Codec:
+    """The model's codec, made once in a worker and used by its next tasks too, with the parts that it has kept."""
+    if model["key"] not in _made:
+        _made.clear()
+        _made[model["key"]] = Codec(model)
+    return _made[model["key"]]
+
+
 def round_trip(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256, n_chars_decoded.
 
@@ -231,7 +249,7 @@ def round_trip(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: s
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_chars_decoded long"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model)
+        codec = codec_of(model)
         end = (str(codec.end_id), (codec.end_id,))
         sha = hashlib.sha256
         for batch in batches:
@@ -239,9 +257,10 @@ def round_trip(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: s
             for text in batch.column(1).to_pylist():
                 parts = codec.encoded(text)
                 parts.append(end)
-                ids = list(chain.from_iterable([p[1] for p in parts]))
+                said, own = zip(*parts, strict=True)
+                ids = list(chain.from_iterable(own))
                 decoded = codec.decode(ids)
-                said = " ".join([p[0] for p in parts])
+                said = " ".join(said)
                 rows.append((len(ids), sha(said.encode()).hexdigest(), sha(decoded.encode()).hexdigest(), len(decoded)))
             columns = [pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], type=t) for t in kinds]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
@@ -255,7 +274,7 @@ def encode_documents(docs: DataFrame, model: dict, text_col: str = "text", ids_c
     """docs with `ids_col`: the ids of each text with the end id (null texts as empty). A column of that name is replaced."""
 
     def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = Codec(model)
+        codec = codec_of(model)
         for texts in batches:
             rows = []
             for text in texts.to_pylist():
