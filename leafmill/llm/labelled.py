@@ -36,11 +36,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, allowed, most:
     return docs.join(wanted, F.col("doc_id") == F.col("__labelled")).select(text_or_empty(text_col).alias("text"), "label", "doc_id")
 
 
+#: Words that a worker keeps the numbers of: some 50 MB.
+KEPT_WORDS = 300_000
+
+
 class Words(dict):
     """Word to a 32-bit number, kept for words that were seen; forgets when it gets large, which only costs time."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > KEPT_WORDS:
             self.clear()
         value = self[word] = zlib.crc32(word.encode("utf-8", "surrogatepass"))
         return value

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import ship_code
-from .labelled import Words, split_words
+from .labelled import KEPT_WORDS, Words, split_words
 from .shared import discard, text_or_empty, written
 
 SIZE, THRESHOLD = 5, 0.8
@@ -46,7 +46,7 @@ def depth_for(recall: float, threshold: float = THRESHOLD, trees: int = TREES, d
 
 class Hashes(Words):
     def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > KEPT_WORDS:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return value

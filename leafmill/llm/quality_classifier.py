@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import ship_code
-from .labelled import Words, fold, platt, split_words, training_rows
+from .labelled import KEPT_WORDS, Words, fold, platt, split_words, training_rows
 
 MOST_ROWS, PER_CLASS = 6_000, 4_000
 BITS, ALPHA, COST, EPOCHS, FOLDS = 18, 1.0, 1.0, 12, 3
@@ -31,7 +31,7 @@ class Shapes(Words):
     """A word's shape as a small number: case, length class, kind of the last character."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > KEPT_WORDS:
             self.clear()
         case = 0 if word.islower() else 1 if word.isupper() and len(word) > 1 else 2 if word[:1].isupper() else 3
         last = word[-1:]

@@ -28,10 +28,10 @@ from ..ship import ship_code
 from .shared import text_or_empty
 
 SPACE = "▁"
-#: A worker keeps the parts of late, between one and two times so many: some 400 MB. It only saves time.
-KEPT_PARTS = 1_000_000
+#: A worker keeps the parts of late, between one and two times so many: some 100 MB. It only saves time.
+KEPT_PARTS = 150_000
 #: Pairs of pieces whose compatibility a worker remembers: some 70 MB.
-KEPT_PAIRS = 1_000_000
+KEPT_PAIRS = 600_000
 
 
 def _each_byte(e: UnicodeError) -> tuple[str, int]:

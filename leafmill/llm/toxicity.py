@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import ship_code
-from .labelled import fold, platt, training_rows
+from .labelled import KEPT_WORDS, fold, platt, training_rows
 
 MOST_ROWS, PER_CLASS = 8_000, 4_000
 #: Prior weight in texts, least |z| of a word that stands out, score of other words, significance of a segment.
@@ -45,7 +45,7 @@ class Weights(dict):
         return Weights, (self.words, self.stems)
 
     def __missing__(self, word: str) -> float:
-        if len(self) > len(self.words) + 1_000_000:
+        if len(self) > len(self.words) + KEPT_WORDS:
             self.clear()
             self.update(self.words)
         value = self[word] = self.stems.get(word[:STEM], DRIFT)
