@@ -131,7 +131,7 @@ def safe_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT split_part(split_part(url, '://', 2), '/', 1) AS host, sum(len(regexp_extract_all(html, '<a href="([^"]*)"', 1))) AS n_links, count(*) AS n_pages
+SELECT split_part(split_part(url, '://', 2), '/', 1) AS host, CAST(sum(len(regexp_extract_all(html, '<a href="([^"]*)"', 1))) AS BIGINT) AS n_links, count(*) AS n_pages
 FROM pages GROUP BY 1
 """)
 def link_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
