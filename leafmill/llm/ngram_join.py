@@ -128,28 +128,55 @@ def _signed(docs: DataFrame, depth: int) -> DataFrame:
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
-    """node, root: the smallest node of its connected component, for every node of edges (a, b: long).
+    """node, root: the smallest node of its connected component, for every node of edges (a, b: long, no nulls).
 
-    Labels spread over edges, and each label is replaced by its own label, until nothing changes; each round is a
-    written table. Minima are combined before the shuffle, so a node with many edges is no hot group.
+    Edges point down, from the larger node to the smaller. In each round every node hooks on the smallest node that it
+    points to, the trees that arise are flattened, and the edges move to their roots; those within a tree vanish. Of
+    the nodes that still have edges at most half are left after two rounds. A node links to few (its hooks come first,
+    so a hub's edges vanish in the first round), minima are combined before the shuffle, and each round is a written
+    table. Without edges, no rows.
     """
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
-    label = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), f"{name}-0")
-    rounds = 0
+    left = written(_pointed(edges), f"{name}-edges")
+    total, rounds = None, 0
+    while total is None or not left.isEmpty():
+        rounds += 1
+        hooks = left.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(left.select(F.col("b").alias("node"), F.col("b").alias("root")))
+        trees = _flattened(hooks.groupBy("node").agg(F.min("root").alias("root")), f"{name}-{rounds}")
+        upper = trees.select(F.col("node").alias("upper"), F.col("root").alias("a"))
+        lower = trees.select(F.col("node").alias("lower"), F.col("root").alias("b"))
+        # most edges lead to the root of the tree that they made: these are gone before the second join
+        moved = left.withColumnsRenamed({"a": "upper", "b": "lower"}).join(upper, "upper").where("a != lower").join(lower, "lower").where("a != b")
+        rest = written(_pointed(moved), f"{name}-edges-{rounds}")
+        if total is None:
+            total = trees
+        else:
+            further = trees.select(F.col("node").alias("root"), F.col("root").alias("further"))
+            wider = written(total.join(further, "root", "left").select("node", F.coalesce("further", "root").alias("root")), f"{name}-all-{rounds}")
+            discard(total)
+            discard(trees)
+            total = wider
+        discard(left)
+        left = rest
+    discard(left)
+    return total
+
+
+def _pointed(edges: DataFrame) -> DataFrame:
+    return edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _flattened(trees: DataFrame, name: str) -> DataFrame:
+    """trees (node, root), a written table, with the root of all in place of the node that each hooks on."""
+    trees, rounds = written(trees, f"{name}-hooks"), 0
     while True:
         rounds += 1
-        near = both.join(label, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("near"))
-        new = label.join(near, F.col("node") == F.col("a")).select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        jump = label.select(F.col("node").alias("via"), F.col("root").alias("further"))
-        new = new.join(jump, F.col("root") == F.col("via"), "left").select("node", "old", F.least("root", F.coalesce("further", "root")).alias("root"))
-        new = written(new, f"{name}-{rounds}")
-        discard(label)
-        if new.where("old != root").isEmpty():
-            discard(both)
-            return new.select("node", "root")
-        path = new._leafmill_path
-        label = new.select("node", "root")
-        label._leafmill_path = path
+        above = trees.select(F.col("node").alias("root"), F.col("root").alias("further"))
+        jumped = written(trees.join(above, "root").select("node", F.col("root").alias("old"), F.col("further").alias("root")), f"{name}-jump-{rounds}")
+        discard(trees)
+        trees = jumped.select("node", "root")
+        trees._leafmill_path = jumped._leafmill_path
+        if jumped.where("old != root").isEmpty():
+            return trees
 
 
 def _verify(blocks: DataFrame, depth: int, threshold: float) -> DataFrame:

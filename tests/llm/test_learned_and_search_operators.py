@@ -63,6 +63,25 @@ def test_jaccard_join_edges(spark):
     assert ngram_join.near_duplicates(df.where("false")).count() == 0
 
 
+def test_components_equal_union_find(spark):
+    rng = random.Random(2)
+    chain = rng.sample(range(200), 200)
+    cases = [[], list(zip(chain, chain[1:], strict=False)), [(500, i) for i in range(200)], [(rng.randrange(400), rng.randrange(400)) for _ in range(300)]]
+    for pairs in cases:
+        edges, parent = [p for p in pairs if p[0] != p[1]], {}
+
+        def find(x, parent=parent):
+            while parent.setdefault(x, x) != x:
+                x = parent[x]
+            return x
+
+        for pair in edges:
+            a, b = sorted(map(find, pair))
+            parent[b] = a
+        got = ngram_join.components(spark.createDataFrame([*edges, *edges], "a long, b long"), "test").collect()
+        assert {r.node: r.root for r in got} == {x: find(x) for x in parent} and len(got) == len(parent)
+
+
 def test_recall_shortens_prefixes():
     depth = ngram_join.depth_for(0.995)
     assert 1 - (1 - 0.8**depth) ** ngram_join.TREES >= 0.995 > 1 - (1 - 0.8 ** (depth + 1)) ** ngram_join.TREES
