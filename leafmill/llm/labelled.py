@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +56,17 @@ class Words(dict):
 split_words = re.compile(r"[^\x20\x09-\x0D]+").findall
 
 
+#: Rows that a worker has the features of at a time.
+ROWS_AT_ONCE = 256
+
+
+def few_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches: what is made of a batch's texts can be several times as large as they are."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
+
+
 def platt(margin: np.ndarray, label: np.ndarray, rounds: int = 60) -> tuple[float, float]:
     """a, b of sigmoid(a * margin + b), by Newton steps on smoothed labels."""
     n1 = label.sum()

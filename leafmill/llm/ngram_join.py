@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import ship_code
-from .labelled import KEPT_WORDS, Words, split_words
+from .labelled import KEPT_WORDS, Words, few_rows, split_words
 from .shared import discard, text_or_empty, written
 
 SIZE, THRESHOLD = 5, 0.8
@@ -108,7 +108,7 @@ def _signed(docs: DataFrame, depth: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
-        for batch in batches:
+        for batch in few_rows(batches):
             sets = [shingles(hashes, t) for t in batch.column(2).to_pylist()]
             some = [i for i, s in enumerate(sets) if len(s)]
             set_hash: list = [None] * len(sets)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import ship_code
-from .labelled import KEPT_WORDS, Words, fold, platt, split_words, training_rows
+from .labelled import KEPT_WORDS, Words, few_rows, fold, platt, split_words, training_rows
 
 MOST_ROWS, PER_CLASS = 6_000, 4_000
 BITS, ALPHA, COST, EPOCHS, FOLDS = 18, 1.0, 1.0, 12, 3
@@ -138,7 +138,7 @@ def learn(docs: DataFrame, labels: DataFrame, allowed, text_col: str = "text") -
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, shapes = Words(), Shapes()
-        for batch in batches:
+        for batch in few_rows(batches):
             found = [features(words, shapes, t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(found, type=pa.list_(pa.int32())), batch.column(1), batch.column(2)], names=["x", "label", "doc_id"]
@@ -166,7 +166,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, held_out: int = 1, folds
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, shapes = Words(), Shapes()
         weights, a, b = model.value
-        for batch in batches:
+        for batch in few_rows(batches):
             margin = margins(weights, [features(words, shapes, t) for t in batch.column(2).to_pylist()]).astype(float)
             score = 1 / (1 + np.exp(-np.clip(a * margin + b, -35, 35)))
             yield pa.RecordBatch.from_arrays(
@@ -189,7 +189,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, held_out: int = 1, folds: int
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, shapes = Words(), Shapes()
         weights, a, b = model.value
-        for batch in batches:
+        for batch in few_rows(batches):
             rows = [features(words, shapes, t or "") for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(a * margins(weights, rows).astype(float) + b >= 0, type=pa.bool_()))
 
