@@ -38,8 +38,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, allowed, most:
     return docs.join(wanted, F.col("doc_id") == F.col("__labelled")).select(text_or_empty(text_col).alias("text"), "label", "doc_id")
 
 
-#: Words that a worker keeps the numbers of: some 50 MB.
-KEPT_WORDS = 300_000
+#: Words that a worker keeps the numbers of: some 25 MB.
+KEPT_WORDS = 150_000
 
 
 class Words(dict):
