@@ -8,8 +8,12 @@ important node. Branches below LEAST are removed from each page, if enough pages
 
 Two presentations decide by themselves, before any counting: elements that HTML itself or their class calls a menu,
 header, footer, sidebar, notice, advert, form, comment or script have importance 0; an article or main element has
-importance 1, and then the page's text is what it holds. Entropies alone can't give right results: a menu whose entries
-differ from page to page has the entropy of an article, and one article that a host repeats has that of a footer.
+importance 1 as a whole. Entropies alone can't give right results: a menu whose entries differ from page to page has the
+entropy of an article, and one article that a host repeats has that of a footer.
+
+That is a prior, and the tree still counts: inside of an article, a text goes that lies in a branch without importance
+and that many of the host's pages repeat word for word, unless the article as a whole is without importance. And where
+the articles of a page hold less than MAIN_SHARE of the text that the tree leaves, that text is the page's.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from ..ship import ship_code
 from .shared import text_or_empty, written
 
 LEAST, CONTENT_SHARE, LEAST_PAGES, LEAST_SHARE = 0.2, 0.9, 10, 0.2
+MAIN_SHARE = 0.5
 SALTS = 16
 
 _token = re.compile(
@@ -193,29 +198,44 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]], bool]:
 
 
 def main_text(html: str, removed: frozenset[str] = frozenset()) -> str:
-    """The text of a page. removed: paths of its host's style tree without importance."""
+    """The text of a page. removed: of its host's style tree, the paths without importance, and the texts in them that
+    pages repeat (see repeated_key)."""
     _, blocks, has_main = parse(html)
+    left = [(node, t) for node, t in blocks if not (removed and _unimportant(node, removed))]
     if has_main:
-        kept = [t for node, t in blocks if node.inside]
+        inside = [t for node, t in left if node.inside]
+        if sum(map(len, inside)) >= MAIN_SHARE * sum(len(t) for _, t in left):
+            return "\n\n".join(inside)
     else:
-        kept = [t for node, t in blocks if not (removed and _under(node, removed))] or [t for _, t in blocks]
-    return "\n\n".join(kept)
+        left = left or blocks
+    return "\n\n".join(t for _, t in left)
+
+
+def _value(parts: list[str]) -> int:
+    return xxhash.xxh3_64_intdigest("\0".join(parts)) >> 1
+
 
+def repeated_key(path: str, value: int) -> str:
+    return f"{path}\n{value}"
 
-def _under(node: Node | None, removed: frozenset[str]) -> bool:
-    while node is not None:
-        if node.path in removed:
-            return True
+
+def _unimportant(block: Node, removed: frozenset[str]) -> bool:
+    """Outside of articles, whether a branch around the block is removed; inside, see above."""
+    low, node = False, block
+    while node is not None and node.tag not in MAIN:
+        low = low or node.path in removed
         node = node.outer
-    return False
+    if not low or node is None:
+        return low
+    return node.path not in removed and repeated_key(block.path, _value(block.text)) in removed
 
 
 def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """host, path, importance, n_pages of every node of the hosts' style trees. pages: host, html."""
+def node_values(pages: DataFrame) -> DataFrame:
+    """host, path, kind, value, n: how many pages have a presentation (kind 0) or content (kind 1) at a node. pages: host, html."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,15 +247,19 @@ def style_tree(pages: DataFrame) -> DataFrame:
                     entry[0] += [c for k, c in enumerate(node.children) if not k or node.children[k - 1] != c]
                     entry[1] += node.text
                 for path, (children, text) in own.items():
-                    seen[host, path, 0, xxhash.xxh3_64_intdigest("\0".join(children)) >> 1] += 1
-                    seen[host, path, 1, xxhash.xxh3_64_intdigest("\0".join(text)) >> 1] += 1
+                    seen[host, path, 0, _value(children)] += 1
+                    seen[host, path, 1, _value(text)] += 1
             rows = [(*k, n) for k, n in seen.items()]
             columns = zip(*rows, strict=True) if rows else [[]] * 5
             types = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(columns, types, strict=True)], names=["host", "path", "kind", "value", "n"])
 
     counted = pages.mapInArrow(count, "host string, path string, kind int, value long, n long")
-    values = counted.groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"))
+    return counted.groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"))
+
+
+def style_tree(values: DataFrame) -> DataFrame:
+    """host, path, importance, n_pages of every node of the hosts' style trees. values: of node_values."""
     n = F.sum("n")
     share = F.when(n > 1, (F.log(n) - F.sum(F.col("n") * F.log("n")) / n) / F.log(n)).otherwise(1.0)
     kinds = values.groupBy("host", "path", "kind").agg(share.alias("share"), n.alias("n_pages"))
@@ -249,17 +273,23 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
 
 def removed_branches(pages: DataFrame) -> DataFrame:
-    """host, removed: the paths that LEAST_PAGES pages and a LEAST_SHARE of the host's have, without importance.
+    """host, removed: the paths that LEAST_PAGES pages and a LEAST_SHARE of the host's have, without importance, and for
+    each the contents that LEAST_PAGES pages and a LEAST_SHARE of those with the path have.
 
-    A page has each path once, so a host has at most the nodes of a page / LEAST_SHARE of them, however many pages.
+    A page has each path once, so a host has at most the nodes of a page / LEAST_SHARE of them, however many pages, and
+    a path has at most 1 / LEAST_SHARE such contents.
     """
-    tree = written(style_tree(pages), "style-tree")
+    values = written(node_values(pages), "style-values")
+    tree = written(style_tree(values), "style-tree")
     whole = tree.groupBy("host").agg(F.max("n_pages").alias("of_pages"))
     low = tree.join(whole, "host").where(
         (F.col("importance") < LEAST) & (F.col("n_pages") >= F.greatest(F.lit(LEAST_PAGES), F.col("of_pages") * LEAST_SHARE))
         & ~F.col("path").isin("/html", "/html/body", "/body")
     )
-    return written(low.groupBy("host").agg(F.array_sort(F.collect_list("path")).alias("removed")), "removed")
+    low = written(low.select("host", "path", "n_pages"), "low")
+    often = values.where((F.col("kind") == 1) & (F.col("n") >= LEAST_PAGES)).join(low, ["host", "path"]).where(F.col("n") >= F.col("n_pages") * LEAST_SHARE)
+    keys = low.select("host", F.col("path").alias("key")).union(often.select("host", F.concat_ws("\n", "path", F.col("value").cast("string"))))
+    return written(keys.groupBy("host").agg(F.array_sort(F.collect_list("key")).alias("removed")), "removed")
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
