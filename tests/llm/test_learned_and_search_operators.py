@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from leafmill.llm import ngram_join, quality_classifier, sentencepiece_codec, site_style, toxicity
+from leafmill.llm import ngram_join, quality_classifier, sentencepiece_codec, toxicity
 
 SF = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, source string, digest string, class_no long"
@@ -160,22 +160,3 @@ def test_segments_are_the_maximal_ones():
         got = toxicity.segments(x)
         assert [(a, b) for a, b, _ in got] == brute_segments(list(x))
         assert all(abs(s - x[a:b].sum()) < 1e-9 for a, b, s in got)
-
-
-def test_extraction():
-    page = "<html><head><title>t</title></head><body><header>site</header><nav><a>m</a></nav><article><header><h1>A &amp; B</h1></header><p>one <b>two<p>three<br>four</p>"
-    page += '<div class="comments"><p>no</p></div><aside>no</aside></article><footer>&copy;</footer>'
-    assert site_style.main_text(page) == "A & B\n\none two\n\nthree four"
-    assert site_style.main_text("") == "" and site_style.main_text("plain &lt;text") == "plain <text"
-    assert site_style.main_text('<script>if(a<b){"</p>"}</script><p>x</p><style>p{}') == "x"
-
-
-def test_style_tree_removes_what_every_page_of_a_host_has(spark):
-    page = lambda i: f"<body><div class='top'>Welcome to the site</div><div class='text'><p>page {i} says {i * 7}</p></div></body>"
-    rows = [(i, f"http://h.example/{i}", page(i), "x") for i in range(30)] + [(99, None, None, "x"), (None, "http://one.example/", "<p>alone</p>", "x"), (1, "http://h.example/1", page(1), "x")]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
-    got = site_style.extract_text(df).collect()
-    assert len(got) == len(rows)
-    assert {r.text for r in got if r.url and "h.example" in r.url} == {f"page {i} says {i * 7}" for i in range(30)}
-    assert [r.text for r in got if r.page_id is None] == ["alone"] and [r.n_chars for r in got if r.page_id == 99] == [0]
-    assert site_style.extract_text(df.where("false")).count() == 0
