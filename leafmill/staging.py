@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: dict[str, str] = {}
+#: Written tables that are still there, with the Hadoop folder and file system they are in.
+_kept: dict[str, tuple] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,11 +35,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._leafmill_path = path
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    _kept[path] = (folder, folder.getFileSystem(spark._jsc.hadoopConfiguration()))
     return table
 
 
-def discard(table: DataFrame) -> None:
-    """Deletes the files of a table that written() made and that nothing reads any more."""
-    spark = table.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(table._leafmill_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables that written() made and that nothing reads any more.
+
+    Tables that a lazy result reads can't be deleted before the result is: these go when the driver ends.
+    """
+    for table in tables:
+        _delete(table._leafmill_path)
+
+
+def _delete(path: str) -> None:
+    if path in _kept:
+        folder, files = _kept.pop(path)
+        files.delete(folder, True)
+
+
+@atexit.register
+def _delete_all() -> None:
+    for path in list(_kept):
+        with contextlib.suppress(Exception):  # the JVM may be gone before
+            _delete(path)
