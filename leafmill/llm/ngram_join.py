@@ -1,15 +1,19 @@
 """N-gram Jaccard join by a MinHash LSH forest.
 
-Every text's word shingles get a MinHash signature of TREES labels, each of DEPTH values. A tree sorts the labels, so
-that texts with a common prefix stand together: a prefix trie. Matching starts from whole labels and shortens the
-prefix until a pair at the threshold meets in some tree with the target recall; at that depth each trie node links its
-members to one of them, and the linked texts make candidate groups. Within a group every pair that shares a node in any
-tree is verified exactly on its shingles.
+Every text's word shingles get a MinHash signature of TREES labels, each of DEPTH values. A tree is the prefix trie of
+its labels in order. Matching descends by prefix length: it begins with whole labels, texts that share one in any tree
+are candidates, and every pair of candidates is verified exactly on its shingles. The verified pairs measure how
+many a prefix length misses: pairs are counted by bands of similarity, and prefixes are shortened until, for every band,
+texts that are as similar meet in some tree with the target recall. Bands without a pair count with the most pairs that
+could have been missed by chance, which must be few of all that were found (see enough()). A shorter prefix adds only
+the pairs that shared no longer one, and tries are path-compressed: a node whose members all share the longer prefix
+adds none and is passed over.
 
 What keeps it bounded: texts of equal shingles are one class from the start, which carries how many rows it stands
-for. A trie node of any size leaves one link for each member, found in salted parts. A candidate group is cut into
-blocks of BLOCK classes, and each two blocks of it are verified in a task of their own: memory is two blocks, and what
-leaves a task is a count for each class and a link that joins it to another, not the pairs.
+for. A trie node of any size leaves one link for each member, found in salted parts; linked texts make candidate groups.
+A group is cut into blocks of about BLOCK classes, and two blocks are verified in a task of their own: memory is two
+blocks, and what leaves a task is a count for each class and a link that joins it to another, not the pairs. A class is
+sent to another block only if it shares a node with a class there, so that texts that a chain of others joins don't meet.
 
 Shingles are five words (a text of one to four words has one shingle, the whole), hashed to 64 bits.
 """
@@ -17,9 +21,9 @@ Shingles are five words (a text of one to four words has one shingle, the whole)
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -30,16 +34,38 @@ from .labelled import KEPT_WORDS, Words, few_rows, split_words
 from .shared import discard, text_or_empty, written
 
 SIZE, THRESHOLD = 5, 0.8
-TREES, DEPTH, RECALL = 16, 8, 0.995
-BLOCK, SALTS = 512, 16
+TREES, DEPTH, RECALL, BANDS = 16, 8, 0.995, 4
+BLOCK, SALTS = 256, 16
+#: Bits for each candidate, and at most, of the filter that keeps other texts out of the shuffle: 16 MB, whatever the data.
+FILTER_BITS, MOST_BITS, PART_BITS = 16, 1 << 27, 1 << 15
 SEED = 20240611
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def depth_for(recall: float, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH) -> int:
-    """The prefix length at which a pair at the threshold meets in some tree with this probability: shortened from the
-    whole label."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
+def bands(threshold: float) -> list[float]:
+    """The least similarity of each band from the threshold to 1."""
+    return [threshold + (1 - threshold) * k / BANDS for k in range(BANDS)]
+
+
+def missed(similarity: float, depth: int) -> float:
+    """The chance that two texts share no prefix of this length in any tree."""
+    return (1 - similarity**depth) ** TREES
+
+
+def enough(found: list[int], depth: int, recall: float = RECALL, threshold: float = THRESHOLD) -> bool:
+    """Whether prefixes of this length reach the recall, as the pairs found so far in each band tell.
+
+    A band with pairs must reach it for its least similarity. Of a band without any, n pairs would all have been missed
+    with a chance of missed ** n: the pairs lost to that chance are missed at most, and may be no more than the recall
+    allows of all pairs found. So with few pairs every band must reach the recall.
+    """
+    allowed = 1 - recall
+    return all(missed(low, depth) <= allowed * (1 if n else max(1, sum(found))) for n, low in zip(found, bands(threshold), strict=True))
+
+
+def shortened(found: list[int], depth: int, recall: float = RECALL, threshold: float = THRESHOLD) -> int:
+    """The longest prefix, of `depth` at most, that is enough."""
+    while depth > 1 and not enough(found, depth, recall, threshold):
         depth -= 1
     return depth
 
@@ -77,34 +103,32 @@ _A = _rng.integers(0, 2**63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np
 _B = _rng.integers(0, 2**63, TREES * DEPTH, dtype=np.uint64)
 
 
-def signature(sets: list[np.ndarray], depth: int = DEPTH) -> np.ndarray:
-    """(sets, TREES * depth) MinHash values of 32 bits, `depth` for each tree; sets must not be empty."""
-    keep = [t * DEPTH + d for t in range(TREES) for d in range(depth)]
+def signature(sets: list[np.ndarray]) -> np.ndarray:
+    """(sets, TREES * DEPTH) MinHash values of 32 bits, DEPTH for each tree; sets must not be empty."""
     bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-    out = np.empty((len(sets), TREES * depth), dtype=np.uint32)
+    out = np.empty((len(sets), TREES * DEPTH), dtype=np.uint32)
     first = 0
     while first < len(sets):  # as many sets together as make some 60,000 shingles
         last = min(len(sets), max(first + 1, int(np.searchsorted(bounds, bounds[first] + 60_000))))
         flat = np.concatenate(sets[first:last])
         starts = bounds[first:last] - bounds[first]
-        for at, v in enumerate(keep):
+        for v in range(TREES * DEPTH):
             x = flat * _A[v] + _B[v]
-            out[first:last, at] = np.minimum.reduceat((x ^ (x >> np.uint64(29))) >> np.uint64(32), starts)
+            out[first:last, v] = np.minimum.reduceat((x ^ (x >> np.uint64(29))) >> np.uint64(32), starts)
         first = last
     return out
 
 
-def node_ids(signatures: np.ndarray, depth: int) -> np.ndarray:
-    """(sets, trees) 64-bit ids of the trie nodes at this depth."""
-    labels = signatures.reshape(len(signatures), TREES, -1)
+def node_ids(labels: np.ndarray, depth: int) -> np.ndarray:
+    """(sets, trees) 64-bit ids of the trie nodes at this depth; labels: (sets, TREES, DEPTH)."""
     total = np.zeros(labels.shape[:2], dtype=np.uint64) + np.arange(1, TREES + 1, dtype=np.uint64)
     for d in range(depth):
         total = _mixed(total * ODD + labels[:, :, d])
-    return total.view(np.int64)
+    return total
 
 
-def _signed(docs: DataFrame, depth: int) -> DataFrame:
-    """row_no, doc_id, digest, set_hash (null without words), nodes: of every row."""
+def _signed(docs: DataFrame) -> DataFrame:
+    """row_no, doc_id, digest, key, set_hash (null without words), labels (of each tree, big-endian) of every row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
@@ -112,19 +136,20 @@ def _signed(docs: DataFrame, depth: int) -> DataFrame:
             sets = [shingles(hashes, t) for t in batch.column(2).to_pylist()]
             some = [i for i, s in enumerate(sets) if len(s)]
             set_hash: list = [None] * len(sets)
-            nodes: list = [None] * len(sets)
+            labels: list = [None] * len(sets)
             if some:
-                # only the labels' first `depth` values decide, so only they are computed
-                for i, row in zip(some, node_ids(signature([sets[i] for i in some], depth), depth), strict=True):
+                raw = signature([sets[i] for i in some]).astype(">u4").tobytes()
+                size = 4 * DEPTH
+                for k, i in enumerate(some):
                     set_hash[i] = xxhash.xxh3_128_digest(sets[i].tobytes())
-                    nodes[i] = row
+                    labels[i] = [raw[at : at + size] for at in range(k * TREES * size, (k + 1) * TREES * size, size)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(3), pa.array(set_hash, type=pa.binary()), pa.array(nodes, type=pa.list_(pa.int64()))],
-                names=["row_no", "doc_id", "digest", "set_hash", "nodes"],
+                [batch.column(0), batch.column(1), batch.column(3), batch.column(4), pa.array(set_hash, type=pa.binary()), pa.array(labels, type=pa.list_(pa.binary()))],
+                names=["row_no", "doc_id", "digest", "key", "set_hash", "labels"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(work, f"row_no long, doc_id {kind}, digest binary, set_hash binary, nodes array<long>")
+    return docs.mapInArrow(work, f"row_no long, doc_id {kind}, digest binary, key long, set_hash binary, labels array<binary>")
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -179,26 +204,32 @@ def _flattened(trees: DataFrame, name: str) -> DataFrame:
             return trees
 
 
-def _verify(blocks: DataFrame, depth: int, threshold: float) -> DataFrame:
-    """class_no, links (rows in other classes that are as similar), to (a class that it joins) of every two blocks."""
+def _verify(blocks: DataFrame, depth: int, longer: int | None, threshold: float) -> DataFrame:
+    """class_no, links (rows in other classes that are as similar), to (a class that it joins) of every two blocks; and
+    with null in these, bands: how many pairs of each band of similarity two blocks have."""
 
-    def work(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        hashes = Hashes()
-        first, second = int(keys[1]), int(keys[2])
-        rows = rows.drop_duplicates("class_no").sort_values("class_no")  # rows repeated in id and text
-        sets = [shingles(hashes, t) for t in rows["text"]]
-        nodes = node_ids(signature(sets, depth), depth)
-        block, weight, number = rows["block"].to_numpy(), rows["weight"].to_numpy(), rows["class_no"].to_numpy()
+    def of_group(hashes: Hashes, key: tuple, rows: dict) -> tuple[list, list, list, list]:
+        first, second = key[1:]
+        one: dict[int, int] = {}
+        for i, c in enumerate(rows["class_no"]):
+            one.setdefault(c, i)  # rows repeated in id and text
+        order = [one[c] for c in sorted(one)]
+        number, block, weight = (np.array([rows[name][i] for i in order], dtype=np.int64) for name in ("class_no", "block", "weight"))
         a, b = np.flatnonzero(block == first), np.flatnonzero(block == second)
-        meets = np.zeros((len(a), len(b)), dtype=bool)
-        for t in range(nodes.shape[1]):
-            meets |= nodes[a, t][:, None] == nodes[b, t][None, :]
+        labels = np.frombuffer(b"".join(x for i in order for x in rows["labels"][i]), dtype=">u4").reshape(len(order), TREES, DEPTH).astype(np.uint32)
+        meets = _sharing(node_ids(labels, depth), a, b)
+        if longer:
+            meets &= ~_sharing(node_ids(labels, longer), a, b)  # verified before
         if first == second:
             meets &= a[:, None] < b[None, :]
         if not meets.any():
-            return pd.DataFrame({"class_no": [], "links": [], "to": []}).astype("int64")
-        linked = similar(sets, a, b, meets, threshold)
-        links = np.zeros(len(rows), dtype=np.int64)
+            return [], [], [], []
+        sets: list = [None] * len(order)
+        for k in {*a[meets.any(axis=1)].tolist(), *b[meets.any(axis=0)].tolist()}:
+            sets[k] = shingles(hashes, rows["text"][order[k]])
+        likeness = similar(sets, a, b, meets, threshold)
+        linked = likeness > 0
+        links = np.zeros(len(order), dtype=np.int64)
         np.add.at(links, a, (linked * weight[b]).sum(axis=1))
         np.add.at(links, b, (linked * weight[a][:, None]).sum(axis=0))
         to = number.copy()
@@ -209,27 +240,76 @@ def _verify(blocks: DataFrame, depth: int, threshold: float) -> DataFrame:
             if np.array_equal(old, to):
                 break
         some = links > 0
-        return pd.DataFrame({"class_no": number[some], "links": links[some], "to": to[some]})
-
-    wanted = "class_no long, links long, to long"
-    return blocks.groupBy("root", "first", "second").applyInPandas(work, wanted)
+        in_band = np.histogram(likeness[linked], [*bands(threshold), np.inf])[0]
+        return number[some].tolist(), links[some].tolist(), to[some].tolist(), in_band.tolist()
 
+    names = ["root", "first", "second", "block", "class_no", "weight", "labels", "text"]
 
-def similar(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, meets: np.ndarray, threshold: float) -> np.ndarray:
-    """Which pairs of meets have a Jaccard similarity of threshold or more, exactly."""
-    size = np.array([len(s) for s in sets], dtype=np.int64)
-    linked = np.zeros(meets.shape, dtype=bool)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, key, rows = Hashes(), None, {n: [] for n in names[3:]}
+        out: list = [[], [], [], []]
+
+        def add() -> None:
+            if key is None:
+                return
+            number, links, to, in_band = of_group(hashes, key, rows)
+            for column, x in zip(out, (number, links, to, [None] * len(number)), strict=True):
+                column += x
+            if number:
+                for column, x in zip(out, (None, None, None, in_band), strict=True):
+                    column.append(x)
+
+        def given() -> pa.RecordBatch:
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            batch = pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, kinds, strict=True)], names=["class_no", "links", "to", "bands"])
+            for c in out:
+                c.clear()
+            return batch
+
+        for batch in batches:  # in the order of the groups
+            columns = {n: batch.column(i).to_pylist() for i, n in enumerate(names)}
+            for i, own in enumerate(zip(columns["root"], columns["first"], columns["second"], strict=True)):
+                if own != key:
+                    add()
+                    key, rows = own, {n: [] for n in names[3:]}
+                for n in names[3:]:
+                    rows[n].append(columns[n][i])
+            if out[0]:
+                yield given()
+        add()
+        if out[0]:
+            yield given()
+
+    keys = names[:3]
+    return blocks.select(names).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(work, "class_no long, links long, to long, bands array<long>")
+
+
+def _sharing(nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of a and b share a node."""
+    meets = np.zeros((len(a), len(b)), dtype=bool)
+    for t in range(nodes.shape[1]):
+        meets |= nodes[a, t][:, None] == nodes[b, t][None, :]
+    return meets
+
+
+def similar(sets: list, a: np.ndarray, b: np.ndarray, meets: np.ndarray, threshold: float) -> np.ndarray:
+    """The exact Jaccard similarity of the pairs of meets that have the threshold or more, 0 for all others. Sets that
+    are in no pair may be None."""
+    size = np.array([0 if s is None else len(s) for s in sets], dtype=np.int64)
+    likeness = np.zeros(meets.shape)
     # |x & y| <= min(|x|, |y|), so sizes alone rule pairs out
     small, large = np.minimum(size[a][:, None], size[b][None, :]), np.maximum(size[a][:, None], size[b][None, :])
     meets = meets & (small >= threshold * large - 1e-9)
     pairs = np.argwhere(meets)
     if not len(pairs):
-        return linked
+        return likeness
     if len(pairs) <= 4 * (len(a) + len(b)):  # few: one by one
         for i, j in pairs:
             common = len(np.intersect1d(sets[a[i]], sets[b[j]], assume_unique=True))
-            linked[i, j] = common >= threshold * (size[a[i]] + size[b[j]] - common) - 1e-9
-        return linked
+            union = size[a[i]] + size[b[j]] - common
+            if common >= threshold * union - 1e-9:
+                likeness[i, j] = common / union
+        return likeness
     used = np.unique(np.concatenate([a[meets.any(axis=1)], b[meets.any(axis=0)]]))
     flat = np.concatenate([sets[i] for i in used])
     owner = np.repeat(np.arange(len(used)), size[used])
@@ -248,8 +328,62 @@ def similar(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, meets: np.ndar
         matrix = np.zeros((len(used), min(4096, width - start)), dtype=np.float32)
         matrix[owner[lo:hi], column[lo:hi] - start] = 1
         common[np.ix_(ua, ub)] += matrix[place[a[ua]]] @ matrix[place[b[ub]]].T
-    union = size[a][:, None] + size[b][None, :] - common
-    return meets & (common >= threshold * union - 1e-9)
+    union = np.maximum(size[a][:, None] + size[b][None, :] - common, 1)
+    return np.where(meets & (common >= threshold * union - 1e-9), common / union, 0.0)
+
+
+def _salted(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int")
+
+
+def _candidates(own: DataFrame, depth: int, longer: int | None) -> DataFrame:
+    """class_no, root, block, first, second: which blocks of its candidate group meet a class at this prefix length. A
+    written table.
+
+    own: a written table of class_no and labels. longer: the prefix length whose pairs are known already.
+    """
+    label = F.posexplode("labels").alias("tree", "label")
+    node = F.xxhash64("tree", F.substring("label", 1, 4 * depth))
+    deeper = F.xxhash64(F.substring("label", 1, 4 * longer)) if longer else F.col("class_no")
+    each = own.select("class_no", label).select("class_no", node.alias("node"), deeper.alias("deeper"), _salted("class_no").alias("salt"))
+    # in two steps, so that no node meets in one task: members to the least of a salted part, these to the least of all
+    parts = written(each.groupBy("node", "salt").agg(F.min("class_no").alias("low"), F.count(F.lit(1)).alias("n"), F.min("deeper").alias("d0"), F.max("deeper").alias("d1")), "parts")
+    tops = parts.groupBy("node").agg(F.min("low").alias("top"), F.sum("n").alias("n"), F.min("d0").alias("d0"), F.max("d1").alias("d1")).where("n > 1 and d0 != d1").select("node", "top")
+    live = parts.join(tops, "node").select("node", "salt", "low", "top")
+    held = written(each.drop("deeper").join(live, ["node", "salt"]), "held")
+    discard(parts)
+    down = held.where("class_no != low").select(F.col("class_no").alias("a"), F.col("low").alias("b"))
+    grouped = components(down.unionByName(held.where("low != top").select(F.col("low").alias("a"), F.col("top").alias("b"))).distinct(), "candidates")
+    sizes = grouped.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n_blocks"))
+    placed = grouped.join(sizes, "root").select(F.col("node").alias("class_no"), "root", "n_blocks", F.pmod(F.xxhash64("class_no"), F.col("n_blocks")).cast("int").alias("block"))
+    placed = written(placed, "placed")
+    alone = placed.where("n_blocks = 1").select("class_no", "root", "block", F.col("block").alias("other"))
+    # a class meets a block with which it shares a node, its own if another class there does
+    large = written(held.select("class_no", "node", "salt").join(placed.where("n_blocks > 1"), "class_no"), "large")
+    there = large.groupBy("node", F.col("block").alias("other")).agg(F.count(F.lit(1)).alias("n")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    meeting = large.join(there, ["node", "salt"]).where("block != other or n > 1").select("class_no", "root", "block", "other").distinct()
+    found = written(alone.unionByName(meeting).select("class_no", "root", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second")), "meeting")
+    discard(held, grouped, placed, large)
+    return found
+
+
+def _texts_of(source: DataFrame, wanted: DataFrame) -> DataFrame:
+    """class_no and text of the classes in wanted (class_no, id, sha, key: a written table), from source (doc_id, text).
+
+    A filter over the keys, of a bounded size, keeps most other texts out of the shuffle.
+    """
+    bits = PART_BITS
+    while bits < min(MOST_BITS, FILTER_BITS * max(1, wanted.count())):
+        bits *= 2
+    place = lambda c: F.pmod(c, F.lit(bits))
+    parts = wanted.select(place(F.col("key")).alias("at")).select(F.floor(F.col("at") / PART_BITS).alias("part"), (F.col("at") % PART_BITS).alias("bit"))
+    parts = F.broadcast(parts.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bitmap")))
+    near = source.withColumn("key", F.xxhash64("doc_id", "text")).withColumn("at", place(F.col("key")))
+    near = near.withColumn("part", F.floor(F.col("at") / PART_BITS)).join(parts, "part")
+    byte = F.conv(F.hex(F.substr("bitmap", (F.col("at") % PART_BITS / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    near = near.where(F.getbit(byte, (F.col("at") % 8).cast("int")) == 1).select("doc_id", "text", "key")
+    same = (F.col("own_key") == F.col("key")) & (F.unhex(F.sha2("text", 256)) == F.col("sha")) & F.col("doc_id").eqNullSafe(F.col("id"))
+    return near.join(wanted.withColumnRenamed("key", "own_key"), same).select("class_no", "text")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -261,13 +395,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     (class_id is their doc_id). Null ids count as larger than any; repeated rows are rows. No row, no result. Other
     columns of docs are not looked at.
     """
-    spark = ship_code(docs.sparkSession)
-    depth = depth_for(recall, threshold)
+    ship_code(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    source = source.withColumn("digest", F.unhex(F.sha2("text", 256)))
     # row numbers are given once, here; texts are found again by id and digest
-    numbered = source.select(F.monotonically_increasing_id().alias("row_no"), "doc_id", "text", "digest")
-    signed = written(_signed(numbered, depth), "signed")
+    numbered = source.select(F.monotonically_increasing_id().alias("row_no"), "doc_id", "text", F.unhex(F.sha2("text", 256)).alias("digest"), F.xxhash64("doc_id", "text").alias("key"))
+    signed = written(_signed(numbered), "signed")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_no"))
     # a class is numbered by the row_no of its smallest id
     classes = written(
@@ -275,29 +407,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select("set_hash", F.col("least.row_no").alias("class_no"), F.col("least.doc_id").alias("copy_id"), "weight"),
         "classes",
     )
-    own = signed.select(F.col("row_no").alias("class_no"), "nodes").join(classes.select("class_no"), "class_no")
-    each = own.select("class_no", F.explode("nodes").alias("node")).withColumn("salt", F.pmod(F.xxhash64("class_no"), F.lit(SALTS)).cast("byte"))
-    # in two steps, so that no node meets in one task: members to the least of a salted part, these to the least of all
-    parts = written(each.groupBy("node", "salt").agg(F.min("class_no").alias("low"), F.count(F.lit(1)).alias("n")), "parts")
-    tops = parts.groupBy("node").agg(F.min("low").alias("top"), F.sum("n").alias("n")).where("n > 1")
-    to_top = parts.select("node", "low").join(tops, "node").where("low != top").select(F.col("low").alias("a"), F.col("top").alias("b"))
-    to_low = each.join(parts.where("n > 1").select("node", "salt", "low"), ["node", "salt"]).where("class_no != low").select(F.col("class_no").alias("a"), F.col("low").alias("b"))
-    grouped = components(to_top.unionByName(to_low).distinct(), "candidates")
-    sizes = grouped.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    members = (
-        grouped.join(sizes, "root")
-        .select(F.col("node").alias("class_no"), "root", n_blocks.alias("n_blocks"))
-        .withColumn("block", F.pmod(F.xxhash64("class_no"), F.col("n_blocks")).cast("int"))
-        .join(classes.select("class_no", "weight"), "class_no")
-        .join(signed.select(F.col("row_no").alias("class_no"), F.col("doc_id").alias("id"), F.col("digest").alias("sha")), "class_no")
-    )
-    with_text = source.join(members, (F.col("digest") == F.col("sha")) & F.col("doc_id").eqNullSafe(F.col("id")))
-    others = F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda o: F.struct(F.least("block", o).alias("first"), F.greatest("block", o).alias("second")))
-    blocks = with_text.withColumn("pair", F.explode(others)).select(
-        "root", F.col("pair.first").alias("first"), F.col("pair.second").alias("second"), "block", "class_no", "weight", "text"
-    )
-    found = written(_verify(blocks, depth, threshold), "found")
+    first_rows = signed.select(F.col("row_no").alias("class_no"), F.col("doc_id").alias("id"), F.col("digest").alias("sha"), "key", "labels")
+    own = written(first_rows.join(classes.select("class_no", "weight"), "class_no"), "own")
+    depth, longer, rounds = DEPTH, None, []
+    while True:
+        meeting = _candidates(own, depth, longer)
+        wanted = written(own.join(meeting.select("class_no").distinct(), "class_no"), "wanted")
+        blocks = _texts_of(source, wanted.select("class_no", "id", "sha", "key")).join(wanted.select("class_no", "weight", "labels"), "class_no").join(meeting, "class_no")
+        rounds.append(written(_verify(blocks, depth, longer, threshold), f"found-{depth}"))
+        discard(meeting, wanted)
+        in_bands = [t.agg(*[F.sum(F.get("bands", F.lit(k))).alias(f"b{k}") for k in range(BANDS)]).first() for t in rounds]
+        shorter = shortened([sum(r[k] or 0 for r in in_bands) for k in range(BANDS)], depth, recall, threshold)
+        if shorter == depth:
+            break
+        depth, longer = shorter, depth
+    discard(own)
+    found = reduce(DataFrame.unionByName, rounds).where("class_no is not null")
     links = found.groupBy("class_no").agg(F.sum("links").alias("links"))
     joined = components(found.where("class_no != to").select(F.col("class_no").alias("a"), F.col("to").alias("b")), "links")
     ids = classes.select("class_no", "copy_id", "set_hash", "weight")
@@ -311,6 +436,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         named.join(smallest, "root").select("set_hash", "copy_id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")),
         "named",
     )
+    discard(classes, joined, *rounds)
     # rows of equal shingles may be a third of all: salted
     salted = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return (

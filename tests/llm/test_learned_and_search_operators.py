@@ -22,7 +22,7 @@ def shingles(text):
 
 
 def test_jaccard_join_finds_what_brute_force_does(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK", 16)  # several blocks a group
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)  # several blocks a group
     rng = random.Random(3)
     base = [[f"w{rng.randrange(500)}" for _ in range(rng.randrange(1, 120))] for _ in range(25)]
     texts = []
@@ -82,9 +82,48 @@ def test_components_equal_union_find(spark):
         assert {r.node: r.root for r in got} == {x: find(x) for x in parent} and len(got) == len(parent)
 
 
-def test_recall_shortens_prefixes():
-    depth = ngram_join.depth_for(0.995)
-    assert 1 - (1 - 0.8**depth) ** ngram_join.TREES >= 0.995 > 1 - (1 - 0.8 ** (depth + 1)) ** ngram_join.TREES
+def test_prefixes_shorten_until_measured_pairs_reach_the_recall():
+    low, high = ngram_join.bands(0.8)[0], ngram_join.bands(0.8)[-1]
+    # alike pairs alone need no shorter prefix; with few pairs, or with one at the threshold, prefixes shorten
+    assert ngram_join.shortened([0, 0, 0, 1000], 8) == 8
+    assert ngram_join.shortened([1, 0, 0, 1000], 8) == ngram_join.shortened([0, 0, 0, 0], 8) == 5
+    assert ngram_join.shortened([0, 0, 0, 3], 8) == 6 or ngram_join.shortened([0, 0, 0, 3], 8) == 5
+    for found in ([0, 0, 0, 0], [5, 5, 5, 5], [0, 2, 0, 300]):
+        depth = ngram_join.shortened(found, 8)
+        assert ngram_join.enough(found, depth) and (depth == 8 or not ngram_join.enough(found, depth + 1))
+    assert ngram_join.missed(low, 5) <= 0.005 < ngram_join.missed(low, 6) and ngram_join.missed(high, 8) < 0.005
+
+
+def brute_links(sets, threshold=0.8):
+    """All pairs of indexes as similar as that, by counting common shingles over an inverted index."""
+    held = collections.defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            held[x].append(i)
+    common = collections.Counter(pair for v in held.values() for pair in itertools.combinations(v, 2))
+    return [(i, j) for (i, j), n in common.items() if n >= threshold * (len(sets[i]) + len(sets[j]) - n) - 1e-9]
+
+
+def test_jaccard_join_recall_on_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    links = collections.Counter(i for pair in brute_links([shingles(r.text) for r in docs]) for i in pair)
+    got = {r.doc_id: r.n_links for r in ngram_join.op1_ngram_jaccard_join(spark, SF).collect()}
+    want = {r.doc_id: links[i] for i, r in enumerate(docs)}
+    assert all(got[i] <= want[i] for i in want)
+    assert sum(links.values()) > 50 and sum(got.values()) >= 0.99 * sum(links.values())
+
+
+def test_chains_send_classes_only_where_they_share_a_node(spark, monkeypatch):
+    """A chain of texts, each like the next, is one class; a block of it meets only blocks that share a node with it."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    words = [f"w{i}" for i in range(1400)]
+    texts = [" ".join(words[i * 10 : i * 10 + 300]) for i in range(110)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [shingles(t) for t in texts]
+    links = collections.Counter(i for pair in brute_links(sets) for i in pair)
+    rows = ngram_join.near_duplicates(df).collect()
+    assert {r.class_id for r in rows} == {0}
+    assert sum(r.n_links for r in rows) >= 0.99 * sum(links.values())
 
 
 @pytest.fixture(scope="module")
