@@ -5,6 +5,9 @@ output shard in turn, how many of its slots each source gets: a multinomial draw
 reach its target as weights, so that the totals close in on the targets. Slot k of a source takes block P(k mod n) of
 pass k div n, where P is a pseudorandom permutation of the n block indexes, another one for each source and pass. Slots
 and blocks then meet in a join on (source, block index). No source is passed over more than twice.
+
+A source's documents follow each other in an order that their ids and texts give (see running_totals()), so the mix is
+the same under any settings and file layout. Documents equal in both are interchangeable.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import ship_code
@@ -22,6 +25,8 @@ from .shared import running_totals, shuffle_partitions, text_or_empty, word_coun
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2.0
 BLOCK, SHARDS, SEED = 64, 64, 20240611
+#: Sources at most: the driver draws for each one, and holds SHARDS numbers of it (10 MB). More are refused.
+MOST_SOURCES = 20_000
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -134,14 +139,15 @@ def slots(spark: SparkSession, table: np.ndarray, sizes: list[int], block: int,
 
 
 class Mix:
-    """A mix of docs: `rows` (row_no, doc_id, source, size, source_no, source_size, target, first word in its
+    """A mix of docs: `rows` (row_no, doc_id, digest, source, size, source_no, source_size, target, first word in its
     source), `slots`, and `pieces` (which words of which row a block holds)."""
 
     def __init__(self, rows: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED):
-        """rows: a written table of row_no (unique), doc_id, source, size."""
+        """rows: a written table of row_no (unique), doc_id, digest, source, size. ValueError beyond MOST_SOURCES."""
         spark = rows.sparkSession
-        # one row for each source: the sources are what the mix's weights name, not data that grows
-        found = rows.groupBy("source").agg(F.sum("size").alias("size")).collect()
+        found = rows.groupBy("source").agg(F.sum("size").alias("size")).limit(MOST_SOURCES + 1).collect()
+        if len(found) > MOST_SOURCES:
+            raise ValueError(f"a mix takes {MOST_SOURCES} sources at most")
         found.sort(key=lambda r: (r.source is None, r.source or ""))
         self.sizes = [r["size"] for r in found]
         self.goals = targets(self.sizes) if found else []
@@ -151,7 +157,7 @@ class Mix:
             "name string, source_no int, source_size long, target double",
         )
         numbered = rows.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("name")), "left").drop("name")
-        self.rows = running_totals(numbered, "source_no", "row_no", "size", "first_word")
+        self.rows = running_totals(numbered, "source_no", ["doc_id", "digest"], "size", "first_word")
         table = draw_slots(self.goals, self.sizes, block, shards, seed=seed) if found else np.zeros((shards, 0), dtype=np.int64)
         self.slots = slots(spark, table, self.sizes, block, seed)
         end = F.col("first_word") + F.col("size")
@@ -171,20 +177,20 @@ class Mix:
         return self.pieces.join(times, ["source_no", "block"])
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+def _rows(docs: DataFrame, row_no: Column, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    text = text_or_empty(text_col)
     return docs.select(
-        F.monotonically_increasing_id().alias("row_no"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-        word_count(text_or_empty(text_col)).alias("size"),
-    )
+        row_no.alias("row_no"), F.col(id_col).alias("doc_id"), F.unhex(F.md5(text)).alias("digest"), F.col(source_col).alias("source"), word_count(text).alias("size"),
+    )
 
 
 def mix_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """One row for each row of docs: doc_id, size, source_size, target, taken.
 
     Null texts and texts without words have size 0 and give nothing; null is a source of its own, the last. Repeated
-    rows are rows of their own. No row, no result. Other columns of docs are not looked at.
+    rows are rows of their own, null ids are like others. No row, no result. Other columns of docs are not looked at.
     """
-    mix = Mix(written(_rows(docs, id_col, text_col, source_col), "mix-rows"), **options)
+    mix = Mix(written(_rows(docs, F.monotonically_increasing_id(), id_col, text_col, source_col), "mix-rows"), **options)
     taken = mix.taken_pieces().groupBy("row_no").agg(F.sum(F.col("words") * F.col("times")).alias("got"))
     return mix.rows.join(taken, "row_no", "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("long").alias("taken")
@@ -196,18 +202,13 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     A text that a pass takes whole stays as it is; of another, the words of the blocks that were taken stand in order,
     one space between. So a row comes out at most twice, and not at all if no block of it was drawn. Texts without
-    words pass through once: they have nothing to weigh.
+    words pass through once: they have nothing to weigh. Null texts stay null, null is a source of its own, the last;
+    repeated rows are rows of their own. No row, no result. All columns stay; `n_chars` counts the new text, if it was
+    not null.
     """
     columns = docs.columns
     kept = written(docs.withColumn("__row_no", F.monotonically_increasing_id()), "mix-docs")
-    mix = Mix(
-        written(
-            kept.select(F.col("__row_no").alias("row_no"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-                        word_count(text_or_empty(text_col)).alias("size")),
-            "mix-rows",
-        ),
-        **options,
-    )
+    mix = Mix(written(_rows(kept, F.col("__row_no"), id_col, text_col, source_col), "mix-rows"), **options)
     spans = (
         mix.taken_pieces()
         .groupBy("row_no")

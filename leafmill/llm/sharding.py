@@ -112,10 +112,10 @@ class Ranges:
         return found
 
 
-def _totals(groups: DataFrame, bits: int, of: DataFrame | None = None) -> list[tuple[int, int, int, int, int]]:
+def _totals(groups: DataFrame, bits: int, of: DataFrame | None = None, of_bits: int = 0) -> list[tuple[int, int, int, int, int]]:
     prefix = F.shiftright("key", KEY_BITS - bits)
     if of is not None:
-        groups = groups.join(F.broadcast(of), F.shiftright("key", KEY_BITS - bits + SPLIT_BITS) == F.col("parent"), "left_semi")
+        groups = groups.join(F.broadcast(of), F.shiftright("key", KEY_BITS - of_bits) == F.col("parent"), "left_semi")
     found = groups.groupBy(prefix.alias("prefix")).agg(
         F.sum("bytes").alias("b"), F.count(F.lit(1)).alias("n"), F.max("bytes").alias("m")
     )
@@ -130,14 +130,15 @@ def plan_cuts(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
         return 0, [1 << KEY_BITS] * (shards - 1)
     while True:
         low, high = ranges.bounds(shards)
-        split = ranges.doubtful(shards, low, high) if low < high else []
+        split = [i for i in ranges.doubtful(shards, low, high) if ranges.rows[i][0] < KEY_BITS] if low < high else []
         if not split:
             return high, ranges.cuts(shards, high)
         rows = [r for i, r in enumerate(ranges.rows) if i not in set(split)]
         for bits in sorted({ranges.rows[i][0] for i in split}):
+            finer = min(bits + SPLIT_BITS, KEY_BITS)
             # at most some thousands of ranges, by the number of shards: not by the data
             parents = spark.createDataFrame([(ranges.rows[i][1],) for i in split if ranges.rows[i][0] == bits], "parent long")
-            rows += _totals(groups, bits + SPLIT_BITS, parents)
+            rows += _totals(groups, finer, parents, bits)
         ranges = Ranges(rows)
 
 

@@ -28,22 +28,30 @@ def word_count(text):
     return F.size(F.regexp_extract_all(text, F.lit(f"({WORD})"))).cast("long")
 
 
-def running_totals(df: DataFrame, group: str, order: str, value: str, start: str, total_rows_hint: int | None = None) -> DataFrame:
+#: Rows of a bucket of running_totals(), about, and buckets at least.
+BUCKET_ROWS, LEAST_BUCKETS = 50_000, 16
+
+
+def running_totals(df: DataFrame, group: str, order: list[str], value: str, start: str) -> DataFrame:
     """df with `start`: the sum of `value` over the rows before this one in its group.
 
-    Order within a group: a hash bucket of `order`, then `order`. Each (group, bucket) is summed in its own task, so
-    a group that holds a third of all rows is spread over as many tasks as there are shuffle partitions. Only the
-    bucket totals meet, one row for each group and bucket: bounded by the groups times the shuffle partitions.
-    df must be a written table, since it is read twice; `order` must be unique in it.
+    Order within a group: a hash bucket of the columns `order`, then these columns. Rows that are equal in them are
+    interchangeable. The number of buckets follows from the number of rows alone, so the result is the same under any
+    settings and file layout. Each (group, bucket) is summed in its own task, so a group that holds a third of all rows
+    is spread over many. Only the bucket totals meet, one row for each group and bucket. df must be a written table,
+    since it is read several times.
     """
-    buckets = max(16, shuffle_partitions(df.sparkSession))
-    df = df.withColumn("__bucket", F.pmod(F.xxhash64(order), F.lit(buckets)).cast("int"))
+    buckets = LEAST_BUCKETS
+    rows = df.count()
+    while buckets * BUCKET_ROWS < rows:
+        buckets *= 2
+    df = df.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     totals = df.groupBy(group, "__bucket").agg(F.sum(value).alias("__sum"))
     before = Window.partitionBy(group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select(
         F.col(group).alias("__g"), F.col("__bucket").alias("__b"), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base")
     )
-    within = Window.partitionBy(group, "__bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(group, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     summed = df.withColumn("__within", F.coalesce(F.sum(value).over(within), F.lit(0)))
     return (
         summed.join(bases, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__bucket") == F.col("__b")), "left")

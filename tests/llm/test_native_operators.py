@@ -81,9 +81,65 @@ def test_sharding_edges(docs, empty):
 
 
 def test_mix_targets():
-    assert mixing.targets([100, 100, 100]) == [200.0, 100.0, 150.0] or sum(mixing.targets([100, 100, 100])) == pytest.approx(450)
-    goal = mixing.targets([10, 1000, 1000])
-    assert goal[0] == 20 and sum(goal) == pytest.approx(3015)
+    # 450 by 3, 1, 2 is 225, 75, 150; the first stops at 200, and its 25 go to the others by 1, 2
+    assert mixing.targets([100, 100, 100]) == pytest.approx([200, 250 / 3, 500 / 3])
+    # 3015 by 3, 1, 2: the first stops at 20, the others get 2995 by 1, 2
+    assert mixing.targets([10, 1000, 1000]) == pytest.approx([20, 2995 / 3, 2995 * 2 / 3])
+    assert mixing.targets([100, 10, 10]) == pytest.approx([140, 20, 20]) and mixing.targets([50]) == [75]
+    # 27 by 3, 1, 2, 3: the second has nothing to give, the others get 10.125, 6.75, 10.125
+    assert mixing.targets([6, 0, 6, 6]) == pytest.approx([10.125, 0, 6.75, 10.125])
+
+
+def test_mix_is_the_same_under_any_settings_and_layout(spark, monkeypatch):
+    monkeypatch.setattr("leafmill.llm.shared.BUCKET_ROWS", 20)  # several buckets more than the least
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(i % 97)), f"s{i % 3}") for i in range(600)]
+    results = []
+    for partitions, files, order in (("4", 1, 1), ("64", 7, -1)):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        df = spark.createDataFrame(rows[::order], "doc_id long, text string, source string").repartition(files)
+        results.append((sorted(map(tuple, mixing.mix_words(df, block=16).collect())), sorted(map(tuple, mixing.mix_documents(df, block=16).collect()))))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert results[0] == results[1]
+
+
+def test_too_many_sources_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 3)
+    df = spark.createDataFrame([(i, "a b", f"s{i}") for i in range(4)], "doc_id long, text string, source string")
+    with pytest.raises(ValueError, match="3 sources"):
+        mixing.mix_words(df)
+    assert mixing.mix_words(df.where("doc_id < 3")).count() == 3
+
+
+def test_taken_blocks_equal_a_plain_walk(spark):
+    """Which words are taken, against a walk over blocks in the order that running_totals() gives."""
+    rows = [(i, " ".join(f"w{k}" for k in range(i % 23)), f"s{i % 2}") for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.taken for r in mixing.mix_words(df, block=8, shards=5).collect()}
+    mix = mixing.Mix(mixing.written(mixing._rows(df, F.monotonically_increasing_id(), "doc_id", "text", "source"), "walk"), block=8, shards=5)
+    first = {r.doc_id: (r.source_no, r.first_word) for r in mix.rows.collect()}
+    for source in (0, 1):
+        at = 0
+        for i in sorted((i for i in first if first[i][0] == source), key=lambda i: (first[i][1], i % 23)):
+            assert first[i][1] == at
+            at += i % 23
+    table = mixing.draw_slots(mix.goals, mix.sizes, 8, 5)
+    want = collections.Counter()
+    for source, count in enumerate(table.sum(axis=0).tolist()):
+        n = -(-mix.sizes[source] // 8)
+        for k in range(count):
+            block = int(mixing.permuted(mixing.np.array([k % n]), n, mixing.SEED + 2 * source + k // n)[0])
+            for i, (s, begin) in first.items():
+                if s == source:
+                    want[i] += max(0, min(begin + i % 23, block * 8 + 8) - max(begin, block * 8))
+    assert got == {i: want[i] for i in first}
+
+
+def test_sharding_splits_ranges_to_the_last_bit(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "FIRST_BITS", 56)  # 56 and 6 more would be beyond the key
+    rows = [((5 << 4) + i, 10 + i) for i in range(8)] + [((1 << 50) + i, 25) for i in range(4)]
+    groups = spark.createDataFrame(rows, "key long, bytes long")
+    capacity, cuts = sharding.plan_cuts(groups, 3)
+    assert capacity == brute_capacity([b for _, b in sorted(rows)], 3) and len(cuts) == 2
 
 
 @pytest.mark.parametrize("n", [1, 2, 5, 64, 1000])
