@@ -211,3 +211,59 @@ def test_chat_format(spark):
     assert all(w.text.startswith("<|im_start|>system\n") for w in made) and len(made) > 3
     assert all(w.n_tokens <= 400 or w.n_turns - w.n_repeated == 1 for w in made)
     assert chat_format.windows(df.where("false")).count() == 0
+
+
+def brute_windows(turns, budget, history):
+    """Numbers of the turns of each window: repeated ones, own ones. turns: (tokens, is system) in order."""
+    system = turns[0][0] if len(turns) > 1 and turns[0][1] else 0
+    left, at = max(budget - system, 0), 1 if system else 0
+    span, total, found = max(1, (left - left // 4) // 2), 0, {}
+    for i in range(at, len(turns)):
+        total += turns[i][0]
+        found.setdefault(((total - 1) // span, turns[i][0] <= span), []).append(i)
+    out = []
+    for own in (found[k] for k in sorted(found)):
+        spent, again = sum(turns[i][0] for i in own), []
+        for i in range(own[0] - 1, max(at, own[0] - history) - 1, -1):
+            if spent + turns[i][0] > left:
+                break
+            spent += turns[i][0]
+            again.insert(0, i)
+        out.append((again, own, spent + system))
+    return out
+
+
+def test_chat_windows_keep_the_budget_and_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(chat_format, "PART_TURNS", 4)  # conversations of many parts
+    import random
+
+    rng = random.Random(4)
+    rows = []
+    for c in range(60):
+        role = rng.choice(["system", "user"])
+        rows.append((c, 0, role, f"<{c}.0>" + "s" * rng.choice([0, 10, 400, 900, 1500, 3000])))
+        rows += [(c, i, ["user", "assistant"][i % 2], f"<{c}.{i}>" + "t" * rng.choice([0, 20, 20, 100, 300, 1700])) for i in range(1, rng.randrange(1, 40))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    budget, history = 400, 3
+    made = collections.defaultdict(list)
+    for w in chat_format.windows(df, budget, history).collect():
+        made[w.conv_id].append(w)
+    for c in range(60):
+        mine = [(r, t) for i, _, r, t in rows if i == c]
+        turns = [(-(-(len(r) + len(t)) // 4) + 4, r == "system") for r, t in mine]
+        want = brute_windows(turns, budget, history)
+        got = sorted(made[c], key=lambda w: w.window)
+        system = len(mine) > 1 and mine[0][0] == "system"
+        assert len(got) == len(want)
+        for n, (w, (again, own, tokens)) in enumerate(zip(got, want, strict=True)):
+            said = [int(x) for x in re.findall(rf"<{c}\.(\d+)>", w.text)]
+            assert said == ([0] if system else []) + again + own
+            assert (w.n_tokens, w.n_turns, w.n_repeated) == (tokens, len(said), len(again) + (system and n > 0))
+            assert [w.text[s.start : s.start + s.length] for s in w.loss] == [mine[i][1] for i in own if mine[i][0] == "assistant"]
+            assert w.n_tokens <= budget or len(own) == 1 and not again
+
+
+def test_chat_takes_a_counter_of_tokens(spark):
+    df = spark.createDataFrame([(1, i, "user", "a b c") for i in range(10)], "conv_id long, turn long, role string, text string")
+    got = chat_format.windows(df, budget=16, history=0, tokens=lambda role, text: F.size(F.split(text, " "))).collect()
+    assert sum(w.n_tokens for w in got) == 30 and max(w.n_tokens for w in got) <= 16
