@@ -178,8 +178,6 @@ class Codec:
         for is_known, piece in self.runs(part):
             if not is_known:
                 out += self.as_bytes(piece)
-            elif SPACE + SPACE in piece:  # runs of spaces have pieces of equal score; they are merged directly
-                out += self.merge(piece)
             else:
                 out += self.search(piece)
         return out
@@ -272,7 +270,8 @@ def round_trip(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: s
 
 
 def encode_documents(docs: DataFrame, model: dict, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """docs with `ids_col`: the ids of each text with the end id (null texts as empty). A column of that name is replaced."""
+    """docs with `ids_col`: the ids of each text with the end id. Null texts count as empty: their one id is the end id.
+    A column of that name is replaced, all others stay; rows may repeat. No row, no result."""
 
     def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = codec_of(model)
