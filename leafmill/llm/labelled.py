@@ -20,7 +20,7 @@ def fold(id_col: str, folds: int):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, allowed, most: int, per_class: int, text_col: str = "text") -> DataFrame:
-    """text and label (0, 1) of a bounded sample of the labelled rows: doc_id as long as `allowed` holds.
+    """text, label (0, 1, int) and doc_id of a bounded sample of the labelled rows, of those for which `allowed` holds.
 
     The sample is the rows of smallest hashed id, at most `per_class` of the rarer kind and `most` together; both
     bound what is broadcast and what the driver collects, whatever the data. Rows without a label don't count; of
@@ -28,7 +28,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, allowed, most:
     """
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & allowed)
-        .groupBy("doc_id").agg(F.max(label).alias("label"))
+        .groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
     )
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     ones = known.where("label = 1").orderBy(*order).limit(per_class)

@@ -1,12 +1,12 @@
 """Quality classifier: naive Bayes support vectors (NBSVM).
 
-Features are indicators of hashed word 1-grams and 2-grams, of the same over the shapes of words (case, length, what
-they end with, whether a word repeats the one before), and of how large a share of the text some shapes have. Each is
-scaled by its class log-count ratio r = log((p + alpha) / |p + alpha|) - log((q + alpha) / |q + alpha|), or nothing if
+Features are indicators of hashed 1-grams and 2-grams, over a text's words and over its words' shapes (case, length,
+what they end with, whether a word repeats the one before): nothing but n-grams. Each is scaled by its class log-count ratio r = log((p + alpha) / |p + alpha|) - log((q + alpha) / |q + alpha|), or nothing if
 fewer than LEAST_ROWS rows have it; a linear model with hinge loss is fitted to the scaled, length-normalised rows by dual coordinate descent; margins become probabilities by
 Platt scaling on folds that the model of the fold hasn't seen.
 
-The fit uses a sample of the labelled rows: at most MOST_ROWS of them, in at most twice PER_CLASS. Every row is scored.
+The fit uses a sample of the labelled rows: at most MOST_ROWS of them, in at most twice PER_CLASS, and of these as many
+as have MOST_FEATURES features together. Every row is scored.
 """
 
 from __future__ import annotations
@@ -20,8 +20,11 @@ from pyspark.sql import functions as F
 
 from ..ship import ship_code
 from .labelled import KEPT_WORDS, Words, few_rows, fold, platt, split_words, training_rows
+from .shared import discard, written
 
 MOST_ROWS, PER_CLASS = 6_000, 4_000
+#: Features that the driver collects at most: 80 MB.
+MOST_FEATURES = 20_000_000
 BITS, ALPHA, COST, EPOCHS, FOLDS = 18, 1.0, 1.0, 12, 3
 LEAST_ROWS = 3
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -41,13 +44,6 @@ class Shapes(Words):
         return value
 
 
-def _share(flags: np.ndarray) -> int:
-    """0 for none, else by powers of two: 1 for less than 1/64, 7 for half and more."""
-    if not (n := np.count_nonzero(flags)):
-        return 0
-    return int(np.clip(np.floor(np.log2(n / len(flags))) + 8, 1, 7))
-
-
 def features(words: Words, shapes: Shapes, text: str, bits: int = BITS) -> np.ndarray:
     """The distinct buckets of a text's n-grams. A text without words has none."""
     found = split_words(text)
@@ -56,13 +52,11 @@ def features(words: Words, shapes: Shapes, text: str, bits: int = BITS) -> np.nd
     one = np.fromiter(map(words.__getitem__, found), dtype=np.uint64, count=len(found))
     shape = np.fromiter(map(shapes.__getitem__, found), dtype=np.uint64, count=len(found))
     same = one[1:] == one[:-1]
-    shares = [_share(same), _share(shape // np.uint64(64) == 1), _share(shape % np.uint64(4) >= 2), _share(shape // np.uint64(16) % np.uint64(4) == 3)]
     parts = [
         one,
         one[:-1] * np.uint64(0x100000001B3) + one[1:],
         shape,
         shape[:-1] * np.uint64(512) + shape[1:] * np.uint64(2) + same,
-        np.array([kind * 8 + share for kind, share in enumerate(shares)], dtype=np.uint64),
     ]
     salted = [(x + np.uint64(kind << 56)) * ODD for kind, x in enumerate(parts)]
     both = np.concatenate([x ^ (x >> np.uint64(29)) for x in salted]) * ODD
@@ -145,7 +139,14 @@ def learn(docs: DataFrame, labels: DataFrame, allowed, text_col: str = "text") -
             )
 
     ship_code(docs.sparkSession)
-    got = sample.mapInArrow(extract, "x array<int>, label int, doc_id long").orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    made = written(sample.mapInArrow(extract, f"x array<int>, label int, doc_id {kind}").withColumns({"n": F.size("x"), "order": F.xxhash64("doc_id")}), "features")
+    # MOST_ROWS small rows
+    sized = made.select("order", "doc_id", "n").orderBy("order", "doc_id").toArrow()
+    fits = int(np.searchsorted(np.cumsum(sized.column("n").to_numpy()), MOST_FEATURES, side="right"))
+    chosen = made if fits >= len(sized) else made.where(F.col("order") < sized.column("order")[fits].as_py())
+    got = chosen.orderBy("order", "doc_id").select("x", "label").toArrow()
+    discard(made)
     flat = got.column("x").combine_chunks()
     bounds, values = flat.offsets.to_numpy(), flat.values.to_numpy()
     rows = [values[a:b].astype(np.int64) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
