@@ -9,7 +9,9 @@ ordinary text, K is fitted to the best segments of ordinary training texts. A se
 less than LEVEL times in a text of that length. A text's score is a logistic curve over the logarithm of the joint
 expectation of its segments, fitted on training rows that the scores were not learned from.
 
-The labelled sample is bounded (MOST_ROWS, PER_CLASS). Every row is scored, over its whole text.
+The labelled sample is bounded (MOST_ROWS, PER_CLASS). Its texts stay on the executors, which count and scan them: the
+driver gets the counts of at most MOST_TOKENS tokens that stand out, and some numbers for each text. Every row is
+scored, over its whole text.
 """
 
 from __future__ import annotations
@@ -20,18 +22,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import ship_code
 from .labelled import KEPT_WORDS, fold, platt, training_rows
+from .shared import discard, written
 
 MOST_ROWS, PER_CLASS = 8_000, 4_000
 #: Prior weight in texts, least |z| of a word that stands out, score of other words, significance of a segment.
 PRIOR, LEAST_Z, DRIFT, LEVEL = 4.0, 3.0, -0.3, 1e-2
-#: Letters that make a beginning, and folds for calibration.
-STEM, FOLDS = 5, 5
-split_tokens = re.compile(r"\w+").findall
+#: Letters that make a beginning, folds for calibration, tokens that the driver learns scores of at most.
+STEM, FOLDS, MOST_TOKENS = 5, 5, 200_000
+#: Longer tokens are known by a digest, so that what is learned is small whatever the texts hold.
+LONGEST = 64
+_tokens = re.compile(r"\w+").findall
+
+
+def split_tokens(text: str) -> list[str]:
+    """The words of a text in small letters."""
+    return [w if len(w) <= LONGEST else w[:STEM] + xxhash.xxh3_128_hexdigest(w.encode("utf-8", "surrogatepass")) for w in _tokens(text.lower())]
 
 
 class Weights(dict):
@@ -55,35 +67,31 @@ class Weights(dict):
         return np.fromiter(map(self.__getitem__, tokens), dtype=np.float64, count=len(tokens))
 
 
-def log_odds(texts: list[list[str]], label: np.ndarray) -> Weights:
-    """Scores of words and beginnings from the texts that hold them."""
-    words, stems = (Counter(), Counter()), (Counter(), Counter())
-    for tokens, y in zip(texts, label, strict=True):
-        held = set(tokens)
-        words[y].update(held)
-        stems[y].update({w[:STEM] for w in held})
-    base = float(np.clip(label.mean(), 1e-6, 1 - 1e-6))
-    against = np.log(base) - np.log(1 - base)
-
-    def score(y1: float, y0: float, prior: float) -> tuple[float, float]:
-        a, b = y1 + PRIOR * prior, y0 + PRIOR * (1 - prior)
-        delta = float(np.log(a) - np.log(b) - against)
-        return delta, delta / float(np.sqrt(1 / a + 1 / b))
-
-    stem_share, stem_scores = {}, {}
-    for s in stems[0].keys() | stems[1].keys():
-        y1, y0 = stems[1][s], stems[0][s]
-        stem_share[s] = (y1 + PRIOR * base) / (y1 + y0 + PRIOR)
-        delta, z = score(y1, y0, base)
+def _score(y1, y0, prior, base: float) -> tuple:
+    """Log-odds under a Dirichlet prior, against the share of toxic texts, and its z; of numbers or columns."""
+    log, root = (F.log, F.sqrt) if isinstance(y1, Column) else (np.log, np.sqrt)
+    a, b = y1 + PRIOR * prior, y0 + PRIOR * (1 - prior)
+    delta = log(a) - log(b) - float(np.log(base) - np.log(1 - base))
+    return delta, delta / root(1 / a + 1 / b)
+
+
+def log_odds(words: dict[str, tuple[int, int]], stems: dict[str, tuple[int, int]], base: float) -> Weights:
+    """Scores of words and beginnings, by how many toxic and other texts hold them. Words that neither stand out nor
+    begin like a beginning that does needn't be there."""
+    stem_scores = {}
+    for s, (y1, y0) in stems.items():
+        delta, z = _score(y1, y0, base, base)
         if abs(z) >= LEAST_Z:
-            stem_scores[s] = delta
+            stem_scores[s] = float(delta)
     word_scores = {}
-    for w in words[0].keys() | words[1].keys():
-        y1, y0 = words[1][w], words[0][w]
-        stands_out = abs(score(y1, y0, base)[1]) >= LEAST_Z
-        if stands_out or (w[:STEM] in stem_scores and not (y0 and y1)):
-            word_scores[w] = score(y1, y0, stem_share[w[:STEM]])[0]
-        elif w[:STEM] in stem_scores:
+    for w, (y1, y0) in words.items():
+        if not y1 and not y0:
+            continue
+        stem = w[:STEM]
+        s1, s0 = stems.get(stem, (0, 0))
+        if abs(_score(y1, y0, base, base)[1]) >= LEAST_Z or (stem in stem_scores and not (y0 and y1)):
+            word_scores[w] = float(_score(y1, y0, (s1 + PRIOR * base) / (s1 + s0 + PRIOR), base)[0])
+        elif stem in stem_scores:
             word_scores[w] = DRIFT
     return Weights(word_scores, stem_scores)
 
@@ -120,11 +128,10 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(s, e, after - before) for s, e, before, after, _ in found]
 
 
-def extreme_value(scores: np.ndarray, best: np.ndarray, length: np.ndarray) -> tuple[float, float]:
-    """lambda and K. scores: of tokens of ordinary text; best, length: its texts' best segments and token counts."""
-    value, count = np.unique(scores, return_counts=True)
-    p = count / count.sum()
-    if len(value) < 2 or value.max() <= 0:
+def extreme_value(value: np.ndarray, count: np.ndarray, best: np.ndarray, length: np.ndarray) -> tuple[float, float]:
+    """lambda and K. value, count: the scores of tokens of ordinary texts; best, length: their best segments and tokens."""
+    p = count / max(count.sum(), 1)
+    if len(value) < 2 or value.max() <= 0 or not len(best):
         return 1.0, 0.01
     low, high = 1e-3, 1.0
     while (p * np.exp(np.minimum(high * value, 500))).sum() < 1 and high < 64:
@@ -152,7 +159,7 @@ class Model:
         self.weights, self.lam, self.k, self.a, self.b = weights, lam, k, a, b
 
     def of(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
-        x = self.weights.of(split_tokens(text.lower()))
+        x = self.weights.of(split_tokens(text))
         total, strong = evidence(segments(x), len(x), self.lam, self.k)
         return float(1 / (1 + np.exp(-np.clip(self.a * np.clip(total, *RANGE) + self.b, -35, 35)))), strong
 
@@ -161,33 +168,116 @@ class Model:
 RANGE = (-10.0, 20.0)
 
 
-def train(texts: list[list[str]], label: np.ndarray) -> Model:
-    """Each fifth of the rows calibrates the scores that the other four give."""
-    if not len(label) or label.min() == label.max():
-        return Model(Weights({}, {}), 1.0, 0.01, 0.0, 30.0 if len(label) and label[0] else -30.0)
+def _token_counts(sample: DataFrame) -> DataFrame:
+    """token, is_stem, n: how many texts of each part and label hold it, at 2 * part + label."""
 
-    def fit(of: np.ndarray) -> tuple[Weights, float, float]:
-        weights = log_odds([texts[i] for i in of], label[of])
-        mine = [weights.of(texts[i]) for i in of if not label[i] and texts[i]]
-        if not mine:
-            return weights, 1.0, 0.01
-        best = np.array([max((s for *_, s in segments(x)), default=0.0) for x in mine])
-        return weights, *extreme_value(np.concatenate(mine), best, np.array([len(x) for x in mine]))
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: Counter = Counter()
+            for text, label, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held = set(split_tokens(text))
+                seen.update((w, False, 2 * part + label) for w in held)
+                seen.update((w, True, 2 * part + label) for w in {w[:STEM] for w in held})
+            rows = [(*k, n) for k, n in seen.items()]
+            kinds = [pa.string(), pa.bool_(), pa.int32(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=t) for i, t in enumerate(kinds)], names=["token", "is_stem", "at", "n"])
+
+    each = sample.select("text", "label", "part").mapInArrow(work, "token string, is_stem boolean, at int, n long")
+    sums = F.array(*[F.sum(F.when(F.col("at") == i, F.col("n")).otherwise(0)) for i in range(2 * FOLDS)])
+    return each.groupBy("token", "is_stem").agg(sums.alias("n"))
+
+
+def _of_model(n, label: int, model: int):
+    """Texts of a label in a model's parts: all but its own; model FOLDS has all."""
+    return sum((n[2 * p + label] for p in range(FOLDS) if p != model), start=0 * n[0])
+
+
+def learn_weights(sample: DataFrame) -> list[Weights]:
+    """Scores of each model: model k has all parts of the sample but part k, the last has all."""
+    texts = [0] * (2 * FOLDS)
+    for r in sample.groupBy("part", "label").count().collect():
+        texts[2 * r.part + r.label] = r["count"]
+    base = []
+    for m in range(FOLDS + 1):
+        y1, y0 = _of_model(texts, 1, m), _of_model(texts, 0, m)
+        base.append(float(np.clip(y1 / max(y1 + y0, 1), 1e-6, 1 - 1e-6)))
+    counts = written(_token_counts(sample), "token-counts")
+    # a token is wanted if it stands out in any model, or its beginning does
+    z = F.greatest(*[F.abs(_score(_of_model(F.col("n"), 1, m), _of_model(F.col("n"), 0, m), base[m], base[m])[1]) for m in range(FOLDS + 1)])
+    scored = counts.withColumn("z", z)
+    strong = F.col("z") >= LEAST_Z
+    stems = scored.where("is_stem").select(F.col("token").alias("stem"), F.col("n").alias("stem_n"), strong.alias("stem_strong"))
+    words = scored.where("not is_stem").join(stems, F.substring("token", 1, STEM) == F.col("stem")).where(strong | F.col("stem_strong"))
+    top = words.orderBy(F.desc("z"), "token").limit(MOST_TOKENS).select("token", "n", "stem", "stem_n").collect()
+    alone = scored.where(F.col("is_stem") & strong).orderBy(F.desc("z"), "token").limit(MOST_TOKENS).select("token", "n").collect()
+    discard(counts)
+    stem_n = {r.stem: r.stem_n for r in top} | {r.token: r.n for r in alone}
+    pair = lambda n, m: (_of_model(n, 1, m), _of_model(n, 0, m))
+    return [log_odds({r.token: pair(r.n, m) for r in top}, {s: pair(n, m) for s, n in stem_n.items()}, base[m]) for m in range(FOLDS + 1)]
+
+
+def _background(sample: DataFrame, weights: list[Weights]) -> list[tuple[float, float]]:
+    """lambda and K of each model, from the ordinary texts of its parts."""
+    known = sample.sparkSession.sparkContext.broadcast(weights)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: Counter = Counter()
+            best = []
+            for text, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if tokens := split_tokens(text):
+                    for m in (m for m in range(FOLDS + 1) if m != part):
+                        x = known.value[m].of(tokens)
+                        for v, n in zip(*(a.tolist() for a in np.unique(x, return_counts=True)), strict=True):
+                            seen[m, v] += n
+                        best.append((m, max((s for *_, s in segments(x)), default=0.0), len(x), True))
+            rows = [(m, v, n, False) for (m, v), n in seen.items()] + best
+            kinds = [pa.int32(), pa.float64(), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=t) for i, t in enumerate(kinds)], names=["model", "value", "n", "is_best"])
+
+    found = written(sample.where("label = 0").select("text", "part").mapInArrow(work, "model int, value double, n long, is_best boolean"), "background")
+    # at most as many scores as the models have tokens, and a row for each text and model
+    scores = found.where("not is_best").groupBy("model", "value").agg(F.sum("n").alias("n")).orderBy("model", "value").toArrow()
+    best = found.where("is_best").orderBy("model", "value", "n").toArrow()
+    discard(found)
+    out = []
+    for m in range(FOLDS + 1):
+        s, b = (t.filter(pc.equal(t.column("model"), m)) for t in (scores, best))
+        out.append(extreme_value(*(t.column(c).to_numpy() for t in (s, b) for c in ("value", "n"))))
+    return out
+
+
+def _evidence(sample: DataFrame, weights: list[Weights], background: list[tuple[float, float]]) -> tuple[np.ndarray, np.ndarray]:
+    """Each training text's evidence, by the model that hasn't seen its part, and its label."""
+    known = sample.sparkSession.sparkContext.broadcast((weights, background))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, background = known.value
+        for batch in batches:
+            total = []
+            for text, part in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                x = weights[part].of(split_tokens(text))
+                total.append(float(evidence(segments(x), len(x), *background[part])[0]))
+            yield pa.RecordBatch.from_arrays([pa.array(total, type=pa.float64()), batch.column(1)], names=["total", "label"])
 
-    total = np.zeros(len(label))
-    part = np.arange(len(label)) % FOLDS
-    for k_out in range(FOLDS):
-        weights, lam, k = fit(np.flatnonzero(part != k_out))
-        for i in np.flatnonzero(part == k_out):
-            total[i] = evidence(segments(weights.of(texts[i])), len(texts[i]), lam, k)[0]
-    return Model(*fit(np.arange(len(label))), *platt(np.clip(total, *RANGE), label))
+    got = sample.select("text", "label", "part").mapInArrow(work, "total double, label int").orderBy("total", "label").toArrow()
+    return got.column("total").to_numpy(), got.column("label").to_numpy()
 
 
 def learn(docs: DataFrame, labels: DataFrame, allowed) -> Model:
-    """docs: doc_id, text without nulls."""
+    """docs: doc_id, text without nulls. Each part of the sample calibrates the scores that the other parts give."""
     sample = training_rows(docs, labels, "toxic", allowed, MOST_ROWS, PER_CLASS)
-    rows = sample.orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "label").toArrow()
-    return train([split_tokens(t.lower()) for t in rows.column("text").to_pylist()], rows.column("label").to_numpy())
+    sample = written(sample.select("text", "label", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(FOLDS)).cast("int").alias("part")), "sample")
+    kinds = [r.label for r in sample.select("label").distinct().collect()]
+    if len(kinds) < 2:
+        model = Model(Weights({}, {}), 1.0, 0.01, 0.0, 30.0 if kinds == [1] else -30.0)
+    else:
+        weights = learn_weights(sample)
+        background = _background(sample, weights)
+        total, label = _evidence(sample, weights, background)
+        model = Model(weights[FOLDS], *background[FOLDS], *platt(np.clip(total, *RANGE), label))
+    discard(sample)
+    return model
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, held_out: int = 2, folds: int = 4, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,6 +4,7 @@ import collections
 import itertools
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -145,6 +146,15 @@ def test_codec_equals_the_library(codec):
         assert codec.decode([*ids, 2]) == library.decode([*ids, 2])
 
 
+def test_search_equals_merging_in_runs_of_spaces(codec):
+    """Their pieces have equal scores: every run up to 300 alone, and up to 40 between other characters."""
+    space = sentencepiece_codec.SPACE
+    texts = [space * n for n in range(1, 300)]
+    texts += [a + space * n + b for n in range(1, 40) for a in ("", "the", "1", "}") for b in ("", "a", "the", "//")]
+    assert all(codec.search(t) == codec.merge(t) for t in texts)
+    assert codec.search(space * 50_000) == codec.search(space * 160) * 312 + codec.search(space * 80)
+
+
 def test_codec_decodes_any_ids(codec):
     assert codec.decode([]) == "" and codec.decode([2]) == ""
     assert codec.decode([3 + 0xFF]) == "�"
@@ -170,6 +180,86 @@ def test_quality_on_held_out_rows(spark):
 def test_toxicity_on_held_out_rows(spark):
     got = held_out(spark, toxicity.op8_toxicity, "toxic")
     assert sum(p == y for p, y in got) >= 0.88 * len(got)
+    clean = [p for p, y in got if y == 0]
+    assert sum(clean) <= 0.05 * len(clean)  # words that training never saw, and that begin like others, included
+
+
+VILE, MILD = ["vileword", "vilenesses", "gruntles"], [f"{a}{b}" for a in ("plain", "water", "grass", "cloud") for b in "abcdefgh"]
+
+
+def vile_texts(n, seed):
+    """(text, label, where its vile words are): ordinary words, and in every fourth text a passage of vile ones."""
+    rng = random.Random(seed)
+    for i in range(n):
+        words = rng.choices(MILD, k=rng.randrange(20, 60))
+        at = rng.randrange(len(words)) if i % 4 == 0 else None
+        if at is not None:
+            words[at:at] = rng.choices(VILE[:2], k=6)
+        yield " ".join(words), int(at is not None), at
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_learners_take_any_id_and_label_types(spark, kind):
+    made = list(vile_texts(200, 1))
+    docs = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(made)], "doc_id long, text string").selectExpr(f"CAST(doc_id AS {kind}) AS doc_id", "text")
+    labels = spark.createDataFrame([(i, y, 1 - y) for i, (_, y, _) in enumerate(made)], "doc_id long, toxic long, quality long").selectExpr(f"CAST(doc_id AS {kind}) AS doc_id", "toxic", "quality")
+    got = {int(r.doc_id): r for r in toxicity.score_documents(docs, labels).collect()}
+    for i, (_, y, at) in enumerate(made):
+        assert got[i].predicted == y and got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+        # the passage that is found is the one that was put in
+        assert [(p.start, p.end) for p in got[i].passages] == ([(at, at + 6)] if y else [])
+    good = {int(r.doc_id): r.predicted for r in quality_classifier.score_documents(docs, labels).collect()}
+    assert sum(good[i] == 1 - y for i, (_, y, _) in enumerate(made)) >= 190
+
+
+def test_token_scores_equal_brute_force(spark):
+    made = list(vile_texts(120, 2))
+    sample = spark.createDataFrame([(t, y, i % toxicity.FOLDS) for i, (t, y, _) in enumerate(made)], "text string, label int, part int")
+    weights = toxicity.learn_weights(sample)
+    assert len(weights) == toxicity.FOLDS + 1
+    for model in (0, toxicity.FOLDS):
+        mine = [(set(t.split()), y) for i, (t, y, _) in enumerate(made) if i % toxicity.FOLDS != model]
+        base = np.mean([y for _, y in mine])
+
+        def score(held, prior, mine=mine, base=base):
+            y1, y0 = sum(y for h, y in mine if held(h)), sum(1 - y for h, y in mine if held(h))
+            a, b = y1 + toxicity.PRIOR * prior, y0 + toxicity.PRIOR * (1 - prior)
+            delta = np.log(a / b) - np.log(base / (1 - base))
+            return y1, y0, delta, delta / np.sqrt(1 / a + 1 / b)
+
+        for w in MILD + VILE:
+            y1, y0, _, z = score(lambda h, w=w: w in h, base)
+            s1, s0, stem_delta, stem_z = score(lambda h, w=w: any(x[:5] == w[:5] for x in h), base)
+            own = score(lambda h, w=w: w in h, (s1 + toxicity.PRIOR * base) / (s1 + s0 + toxicity.PRIOR))[2]
+            want = own if abs(z) >= toxicity.LEAST_Z or (abs(stem_z) >= toxicity.LEAST_Z and not (y0 and y1)) and y1 + y0 else toxicity.DRIFT
+            assert weights[model][w] == pytest.approx(want)
+        stem_delta, stem_z = score(lambda h: any(x.startswith("vilen") for x in h), base)[2:]
+        assert weights[model]["vilenable"] == pytest.approx(stem_delta if abs(stem_z) >= toxicity.LEAST_Z else toxicity.DRIFT)
+        assert weights[model]["unseen"] == toxicity.DRIFT
+
+
+def test_quality_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(quality_classifier, "MOST_FEATURES", 4000)
+    made = list(vile_texts(200, 3))
+    docs = spark.createDataFrame([(i, t + " end" * 3000) for i, (t, *_) in enumerate(made)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - y) for i, (_, y, _) in enumerate(made)], "doc_id long, quality int")
+    assert quality_classifier.score_documents(docs, labels).count() == 200
+
+
+def test_dual_descent_reaches_the_optimum_of_the_dual():
+    """Against the duality gap: primal and dual objective meet."""
+    rng = np.random.default_rng(1)
+    rows = [np.sort(rng.choice(30, 6, replace=False)) for _ in range(80)]
+    label = np.array([int(r[0] < 4) for r in rows])
+    values, cost = [np.ones(6) for _ in rows], np.full(80, 0.5)
+    w = quality_classifier.dual_descent(rows, values, label, 30, cost, 2000)
+    sign = np.where(label == 1, 1, -1)
+    margin = np.array([w[r].sum() + w[-1] for r in rows]) * sign
+    best = w @ w / 2 + (cost * np.maximum(0, 1 - margin)).sum()
+    for _ in range(300):  # no step nearby does better
+        v = w + rng.normal(0, 0.02, len(w))
+        m = np.array([v[r].sum() + v[-1] for r in rows]) * sign
+        assert v @ v / 2 + (cost * np.maximum(0, 1 - m)).sum() >= best - 1e-6
 
 
 def test_classifier_edges(spark):
