@@ -23,7 +23,9 @@ import html as entities
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -122,6 +124,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     root = Node("", "", None, False, False)
     stack, nodes, blocks, pending = [root], [root], [], []
     is_open: Counter = Counter()
+    opened: set[str] = set()
     at, size = 0, len(html)
 
     def flush() -> None:
@@ -137,10 +140,13 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         for _ in range(count):
             if stack[-1].tag not in INLINE:
                 flush()
-            is_open[stack.pop().tag] -= 1
+            tag = stack.pop().tag
+            is_open[tag] -= 1
+            if not is_open[tag]:
+                opened.discard(tag)
 
     def close_open(names: frozenset, stops: frozenset) -> None:
-        while any(is_open[n] for n in names):
+        while not names.isdisjoint(opened):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in names:
                     close(len(stack) - i)
@@ -163,7 +169,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             continue
         tag = name.lower()
         if m[1] or m[4]:  # an end tag
-            if is_open[tag]:
+            if tag in opened:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == tag:
                         close(len(stack) - i)
@@ -214,13 +220,14 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         if tag not in VOID:
             stack.append(node)
             is_open[tag] += 1
+            opened.add(tag)
     close(len(stack) - 1)
     flush()
     return nodes, blocks
 
 
-def _id(*parts) -> int:
-    return xxhash.xxh3_64_intdigest("\0".join(map(str, parts))) >> 1
+def _id(*parts: str) -> int:
+    return xxhash.xxh3_64_intdigest("\0".join(parts)) >> 1
 
 
 def kind_id(origin: str, word: str) -> int:
@@ -237,11 +244,11 @@ def repeated_id(path: int, content: int) -> int:
 class Page:
     """What the tree needs of a page, and what is left of the page itself when its HTML isn't needed any more.
 
-    outer, path, kind (0: none), inside: of each block element; owner, text, beside: of each text; values: of each node
-    of the tree that the page has, its id, prior, presentation and content.
+    outer, path, kind (0: none), inside: of each block element; owner, text, beside: of each text; node, prior, show,
+    say: of each node of the tree that the page has, its id, prior, presentation and content.
     """
 
-    __slots__ = ("beside", "inside", "kind", "outer", "owner", "path", "text", "values")
+    __slots__ = ("beside", "inside", "kind", "node", "outer", "owner", "path", "prior", "say", "show", "text")
 
     def __init__(self, html: str):
         nodes, blocks = parse(html)
@@ -275,7 +282,7 @@ class Page:
         self.inside = [n.inside for n in nodes]
         self.path = [0] * count
         for i in range(1, count):
-            self.path[i] = _id(self.path[self.outer[i]], labels[i])
+            self.path[i] = xxhash.xxh3_64_intdigest(labels[i], self.path[self.outer[i]]) >> 1
         marked = [False] * count
         for i in range(count):
             marked[i] = self.kind[i] != 0 or (i > 0 and marked[self.outer[i]])
@@ -302,17 +309,20 @@ class Page:
                 shows[self.path[o]].append(labels[i])
             last[o] = labels[i]
             if k := self.kind[i]:
-                shows.setdefault(k, []).append(self.path[i])
+                shows.setdefault(k, []).append(labels[i])
                 says.setdefault(k, [])
         for i, text, beside in zip(self.owner, self.text, self.beside, strict=True):
             says[self.path[i]].append(text)
             if self.kind[i]:
                 says[self.kind[i]].append(text)
             if beside:
-                shows.setdefault(BESIDE, []).append(self.path[i])
+                shows.setdefault(BESIDE, []).append(labels[i])
                 says.setdefault(BESIDE, []).append(text)
         priors[BESIDE] = PRIORS["beside"]
-        self.values = [(node, priors.get(node, PRIORS["path"]), _id("show", *show), _id("say", *says[node])) for node, show in shows.items()]
+        self.node = list(shows)
+        self.prior = [priors.get(node, PRIORS["path"]) for node in shows]
+        self.show = [_id(*show) for show in shows.values()]
+        self.say = [_id(*says[node]) for node in shows]
 
 
 def left_of(outer, path, kind, inside, owner, text, beside, says, removed: frozenset[int]) -> list[str]:
@@ -346,13 +356,20 @@ def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-_VALUES = "array<struct<node:bigint,prior:double,show:bigint,say:bigint>>"
-_PAGE = f"outer array<int>, path array<bigint>, kind array<bigint>, inside array<boolean>, owner array<int>, text array<string>, beside array<boolean>, values {_VALUES}"
-_ARROW_VALUES = pa.list_(pa.struct([("node", pa.int64()), ("prior", pa.float64()), ("show", pa.int64()), ("say", pa.int64())]))
-_ARROW_PAGE = [
-    ("outer", pa.list_(pa.int32())), ("path", pa.list_(pa.int64())), ("kind", pa.list_(pa.int64())), ("inside", pa.list_(pa.bool_())), ("owner", pa.list_(pa.int32())),
-    ("text", pa.list_(pa.string())), ("beside", pa.list_(pa.bool_())), ("values", _ARROW_VALUES),
-]
+_LISTS = {
+    "outer": pa.int32(), "path": pa.int64(), "kind": pa.int64(), "inside": pa.bool_(), "owner": pa.int32(), "text": pa.string(), "beside": pa.bool_(),
+    "node": pa.int64(), "prior": pa.float64(), "show": pa.int64(), "say": pa.int64(),
+}
+_TYPES = {pa.int32(): "int", pa.int64(): "bigint", pa.bool_(): "boolean", pa.string(): "string", pa.float64(): "double"}
+_PAGE = ", ".join(f"{name} array<{_TYPES[kind]}>" for name, kind in _LISTS.items())
+
+
+def _lists(parts: list[list], kind: pa.DataType) -> pa.Array:
+    bounds = np.zeros(len(parts) + 1, dtype=np.int32)
+    np.cumsum([len(x) for x in parts], out=bounds[1:])
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(list(chain.from_iterable(parts)), type=kind))
+
+
 #: Pages that a worker has parsed at a time.
 PAGES_AT_ONCE = 64
 
@@ -366,15 +383,15 @@ def parsed_pages(pages: DataFrame) -> DataFrame:
             for at in range(0, whole.num_rows, PAGES_AT_ONCE):
                 batch = whole.slice(at, PAGES_AT_ONCE)
                 made = [Page(h) for h in batch.column(3).to_pylist()]
-                columns = [pa.array([[dict(zip(("node", "prior", "show", "say"), v, strict=True)) for v in p.values] if name == "values" else getattr(p, name) for p in made], type=t) for name, t in _ARROW_PAGE]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["page_id", "url", "host", *[n for n, _ in _ARROW_PAGE]])
+                columns = [_lists([getattr(p, name) for p in made], kind) for name, kind in _LISTS.items()]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["page_id", "url", "host", *_LISTS])
 
     return pages.select("page_id", "url", "host", "html").mapInArrow(work, f"page_id {kind}, url string, host string, {_PAGE}")
 
 
 def style_tree(parsed: DataFrame) -> DataFrame:
     """host, node, prior, importance, n_pages of every node of the hosts' style trees."""
-    each = parsed.select("host", F.explode("values").alias("v"))
+    each = parsed.select("host", F.explode(F.arrays_zip("node", "prior", "show", "say")).alias("v"))
     two = F.array(F.struct(F.lit(0).alias("what"), F.col("v.show").alias("value")), F.struct(F.lit(1).alias("what"), F.col("v.say").alias("value")))
     each = each.select("host", F.col("v.node").alias("node"), F.col("v.prior").alias("prior"), F.explode(two).alias("x"))
     counted = each.groupBy("host", "node", "prior", F.col("x.what").alias("what"), F.col("x.value").alias("value")).agg(F.count(F.lit(1)).alias("n"))
@@ -400,7 +417,7 @@ def removed_branches(parsed: DataFrame) -> DataFrame:
     often = (F.col("n_pages") >= F.greatest(F.lit(LEAST_PAGES), F.col("of_pages") * LEAST_SHARE)) & (F.col("most") >= LEAST)
     enough = F.when(is_path, often).when(F.col("prior") == PRIORS["word in article"], F.col("n_pages") >= LEAST_PAGES).otherwise(True)
     low = written(low.where(enough).select("host", "of_pages", "node", "prior", "n_pages"), "low")
-    says = parsed.select("host", F.explode("values").alias("v")).select("host", F.col("v.node").alias("node"), F.col("v.say").alias("say"))
+    says = parsed.select("host", F.explode(F.arrays_zip("node", "say")).alias("v")).select("host", F.col("v.node").alias("node"), F.col("v.say").alias("say"))
     repeated = (
         says.join(low.where(is_path).drop("prior"), ["host", "node"]).groupBy("host", "of_pages", "node", "n_pages", "say").agg(F.count(F.lit(1)).alias("n"))
         .where((F.col("n") >= LEAST_PAGES) & (F.col("n") >= F.col("n_pages") * LEAST_SHARE))
@@ -436,14 +453,14 @@ def _left(parsed: DataFrame, removed: DataFrame) -> DataFrame:
     salted = removed.select("host", "removed", F.explode(F.sequence(F.lit(0), copies - 1)).alias("salt"))
     placed = parsed.join(hot, F.col("host") == F.col("hot"), "left")
     placed = placed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("salts", F.lit(1)).cast("long")).cast("int"))
-    columns = ["page_id", "url", "outer", "path", "kind", "inside", "owner", "text", "beside", "values", "removed"]
+    columns = ["page_id", "url", "outer", "path", "kind", "inside", "owner", "text", "beside", "node", "say", "removed"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, PAGES_AT_ONCE):
                 batch = whole.slice(at, PAGES_AT_ONCE)
-                parts = [batch.column(i).to_pylist() for i in range(2, 11)]
-                texts = ["\n\n".join(left_of(*page[:7], {v["node"]: v["say"] for v in page[7]}, frozenset(page[8] or ()))) for page in zip(*parts, strict=True)]
+                parts = [batch.column(i).to_pylist() for i in range(2, len(columns))]
+                texts = ["\n\n".join(left_of(*page[:7], dict(zip(*page[7:9], strict=True)), frozenset(page[9] or ()))) for page in zip(*parts, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array(texts, type=pa.string()), pa.array([len(t) for t in texts], type=pa.int64())],
                     names=["page_id", "url", "text", "n_chars"],

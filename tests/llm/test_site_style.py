@@ -13,9 +13,9 @@ SCHEMA = "page_id long, url string, html string, host string"
 def left(html, removed=None):
     """What a tree of this one page leaves of it; `removed` in place of its kinds."""
     page = S.Page(html)
-    kinds = {v[0] for v in page.values if v[1] < S.LEAST and v[1] != S.PRIORS["word in article"]}
+    kinds = {n for n, p in zip(page.node, page.prior, strict=True) if p < S.LEAST and p != S.PRIORS["word in article"]}
     columns = (page.outer, page.path, page.kind, page.inside, page.owner, page.text, page.beside)
-    return "\n\n".join(S.left_of(*columns, {v[0]: v[3] for v in page.values}, frozenset(kinds if removed is None else removed)))
+    return "\n\n".join(S.left_of(*columns, dict(zip(page.node, page.say, strict=True)), frozenset(kinds if removed is None else removed)))
 
 
 def test_extraction():
@@ -56,7 +56,8 @@ def test_tree_equals_brute_force_and_decides(spark):
     counts = collections.defaultdict(lambda: (collections.Counter(), collections.Counter()))
     prior = {}
     for h in htmls:
-        for node, p, show, say in S.Page(h).values:
+        page = S.Page(h)
+        for node, p, show, say in zip(page.node, page.prior, page.show, page.say, strict=True):
             counts[node][0][show] += 1
             counts[node][1][say] += 1
             prior[node] = p
