@@ -287,6 +287,19 @@ def encode_documents(docs: DataFrame, model: dict, text_col: str = "text", ids_c
     return docs.withColumn(ids_col, F.arrow_udf(work, "array<int>")(text_or_empty(text_col)))
 
 
+def decode_documents(docs: DataFrame, model: dict, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
+    """docs with `text_col`: the text that each row's ids decode to. Null or no ids give an empty text. A column of that
+    name is replaced, all others stay; rows may repeat. No row, no result."""
+
+    def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        codec = codec_of(model)
+        for ids in batches:
+            yield pa.array([codec.decode(row.values.to_pylist() if row.is_valid else ()) for row in ids], type=pa.string())
+
+    ship_code(docs.sparkSession)
+    return docs.withColumn(text_col, F.arrow_udf(work, "string")(F.col(ids_col)))
+
+
 def default_model() -> dict:
     import public_tokenizers
 
