@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm import exact_dedup, mixing, ngram_join, quality_classifier, sentencepiece_codec
-from leafmill.llm.shared import written
+from leafmill.llm.shared import discard, written
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +30,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, with an end id, and their number."""
-    encoded = sentencepiece_codec.encode_documents(docs, sentencepiece_codec.default_model())
-    return encoded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"))
+    """Token ids of every text, with an end id, their number, and the digest of the text that the ids decode to."""
+    model = sentencepiece_codec.default_model()
+    coded = sentencepiece_codec.decode_documents(sentencepiece_codec.encode_documents(docs, model), model)
+    return coded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
@@ -43,14 +44,23 @@ STAGES = [
     ("SentencePiece encoding", encode),
 ]
 
-#: The classifier's decisions and the mix's draws are beyond SQL; tests/llm holds each stage against brute force.
+#: The classifier's decisions and the mix's draws are beyond SQL; tests/llm/test_pipeline.py holds each stage's rows
+#: against what its operator, the library or a plain walk over all rows says.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. A stage's input is a written table, deleted when the next one is written.
+
+    Null texts count as empty, and null ids, sources and langs are values like others, as the stages' operators define;
+    without documents there is no result.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for n, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if n < len(STAGES) - 1:
             docs = written(docs, f"stage-{n + 1}")
+            if before is not None:
+                discard(before)
+            before = docs
     return docs
