@@ -87,13 +87,18 @@ class FormulaError(ValueError):
     """A formula that has no LaTeX form here."""
 
 
-#: LaTeX of accents and groups by character, of big operators, functions and symbols.
+# The output format's LaTeX names, each list whole and in the order of its characters.
+
+#: Accents above, accents below, groups above, groups below.
 ACCENTS = {
-    0x300: "grave", 0x301: "acute", 0x302: "hat", 0x303: "tilde", 0x304: "bar", 0x305: "overbar", 0x306: "breve", 0x307: "dot", 0x308: "ddot",
-    0x309: "ovhook", 0x30A: "ocirc", 0x30C: "check", 0x310: "candra", 0x312: "oturnedcomma", 0x315: "ocommatopright", 0x31A: "droang", 0x338: "not",
-    0x20D0: "leftharpoonaccent", 0x20D1: "rightharpoonaccent", 0x20D2: "vertoverlay", 0x20D6: "overleftarrow", 0x20D7: "vec", 0x20DB: "dddot",
-    0x20DC: "ddddot", 0x20E1: "overleftrightarrow", 0x20E7: "annuity", 0x20E9: "widebridgeabove", 0x20F0: "asteraccent", 0x330: "wideutilde",
-    0x331: "underbar", 0x23DE: "overbrace", 0x23DF: "underbrace", 0x23B4: "overbracket", 0x23B5: "underbracket",
+    "\u0300": "grave", "\u0301": "acute", "\u0302": "hat", "\u0303": "tilde", "\u0304": "bar", "\u0305": "overbar", "\u0306": "breve", "\u0307": "dot",
+    "\u0308": "ddot", "\u0309": "ovhook", "\u030a": "ocirc", "\u030c": "check", "\u0310": "candra", "\u0312": "oturnedcomma", "\u0315": "ocommatopright",
+    "\u031a": "droang", "\u0338": "not", "\u20d0": "leftharpoonaccent", "\u20d1": "rightharpoonaccent", "\u20d2": "vertoverlay", "\u20d6": "overleftarrow",
+    "\u20d7": "vec", "\u20db": "dddot", "\u20dc": "ddddot", "\u20e1": "overleftrightarrow", "\u20e7": "annuity", "\u20e9": "widebridgeabove", "\u20f0": "asteraccent",
+    "\u0330": "wideutilde", "\u0331": "underbar", "\u20e8": "threeunderdot", "\u20ec": "underrightharpoondown", "\u20ed": "underleftharpoondown",
+    "\u20ee": "underledtarrow", "\u20ef": "underrightarrow",
+    "\u23b4": "overbracket", "\u23dc": "overparen", "\u23de": "overbrace",
+    "\u23b5": "underbracket", "\u23dd": "underparen", "\u23df": "underbrace",
 }
 OPERATORS = {
     "⅀": "\\Bbbsum", "∏": "\\prod", "∐": "\\coprod", "∑": "\\sum", "∫": "\\int", "⋀": "\\bigwedge", "⋁": "\\bigvee",
@@ -101,15 +106,20 @@ OPERATORS = {
 }
 FUNCTIONS = "sin cos tan arcsin arccos arctan arccot sinh cosh tanh coth sec csc".split()
 LIMITS = ("lim", "max", "min")
-SYMBOLS = {
-    "→": "\\rightarrow ", "×": "\\times ", "÷": "\\div ", "±": "\\pm ", "∓": "\\mp ", "≤": "\\leq ", "≥": "\\geq ", "≠": "\\neq ",
-    "≈": "\\approx ", "≡": "\\equiv ", "∞": "\\infty ", "∂": "\\partial ", "∇": "\\nabla ", "∈": "\\in ", "∉": "\\notin ",
-    "⊂": "\\subset ", "∪": "\\cup ", "∩": "\\cap ", "∀": "\\forall ", "∃": "\\exists ", "⋅": "\\cdot ", "…": "\\ldots ",
+#: From U+1D6FC: Greek letters in italics, and their variants.
+GREEK = (
+    "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho varsigma sigma tau upsilon phi chi psi omega "
+    "partial varepsilon vartheta varkappa varphi varrho varpi"
+).split()
+SIGNS = {
+    "←": "leftarrow", "↑": "uparrow", "→": "rightarrow", "↓": "downarrow", "↔": "leftrightarrow", "↕": "updownarrow", "↖": "nwarrow", "↗": "nearrow",
+    "↘": "searrow", "↙": "swarrow", "⋮": "vdots", "⋯": "cdots", "⋰": "adots", "⋱": "ddots", "≠": "ne", "≤": "leq", "≥": "geq", "≦": "leqq", "≧": "geqq",
+    "≨": "lneqq", "≩": "gneqq", "≪": "ll", "≫": "gg", "∈": "in", "∉": "notin", "∋": "ni", "∌": "nni", "∞": "infty", "±": "pm", "∓": "mp",
 }
-_GREEK = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho varsigma sigma tau upsilon phi chi psi omega".split()
-SYMBOLS |= {chr(0x3B1 + n): f"\\{name} " for n, name in enumerate(_GREEK)}
-#: Mathematical italic letters are plain letters; the italic h is elsewhere in Unicode.
-SYMBOLS |= {chr(0x1D434 + n): chr(65 + n) for n in range(26)} | {chr(0x1D44E + n): chr(97 + n) for n in range(26) if n != 7} | {"ℎ": "h"}
+
+#: What a character of a run is in LaTeX, if not itself. Letters in italics are plain ones; an italic h has no place there.
+SYMBOLS = {chr(0x1D6FC + n): f"\\{name} " for n, name in enumerate(GREEK)} | {c: f"\\{name} " for c, name in SIGNS.items()}
+SYMBOLS |= {chr(0x1D434 + n): chr(65 + n) for n in range(26)} | {chr(0x1D44E + n): chr(97 + n) for n in range(26) if n != 7}
 
 
 def escape_latex(text: str) -> str:
@@ -139,8 +149,8 @@ def latex(e: ET.Element) -> str:
         return ("_" if kind == "sub" else "^") + "{" + every() + "}"
     if kind in ("acc", "groupChr"):
         char = prop("chr")
-        name = ACCENTS.get(ord(char), None) if char and len(char) == 1 else None
-        return f"\\{name or ('hat' if kind == 'acc' else 'underbrace')}{{{of('e')}}}"
+        name = ACCENTS.get(char, "hat" if kind == "acc" else "underbrace")
+        return f"\\{name}{{{of('e')}}}"
     if kind == "bar":
         return ("\\underline" if prop("pos") == "bot" else "\\overline") + f"{{{of('e')}}}"
     if kind == "d":

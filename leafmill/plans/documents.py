@@ -227,19 +227,45 @@ def replace_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _M = 'xmlns:m="http://schemas.openxmlformats.org/officeDocument/2006/math"'
 _R = "<m:r><m:t>{}</m:t></m:r>"
+
+
+def _of(tag: str, *inside: str, **properties: str) -> str:
+    """A formula element; a text stands for a run."""
+    held = "".join(x if x.startswith("<") else _R.format(x) for x in inside)
+    said = "".join(f'<m:{k} m:val="{v}"/>' for k, v in properties.items())
+    return f"<m:{tag}>" + (f"<m:{tag}Pr>{said}</m:{tag}Pr>" if properties else "") + held + f"</m:{tag}>"
+
+
+#: A formula of each handler, and each of its forms.
 FORMULAS = {
-    "frac": (f"<m:oMath {_M}><m:f><m:num>{_R.format('a')}</m:num><m:den>{_R.format('b')}</m:den></m:f></m:oMath>", "\\frac{a}{b}"),
-    "sup": (f"<m:oMath {_M}><m:sSup><m:e>{_R.format('x')}</m:e><m:sup>{_R.format('2')}</m:sup></m:sSup></m:oMath>", "x^{2}"),
-    "root": (f"<m:oMath {_M}><m:rad><m:deg>{_R.format('3')}</m:deg><m:e>{_R.format('y')}</m:e></m:rad></m:oMath>", "\\sqrt[3]{y}"),
-    "sum": (f'<m:oMath {_M}><m:nary><m:naryPr><m:chr m:val="∑"/></m:naryPr><m:sub>{_R.format("i")}</m:sub><m:sup>{_R.format("n")}</m:sup><m:e>{_R.format("i")}</m:e></m:nary></m:oMath>', "\\sum_{i}^{n}i"),
-    "sin": (f"<m:oMath {_M}><m:func><m:fName>{_R.format('sin')}</m:fName><m:e>{_R.format('x')}</m:e></m:func></m:oMath>", "\\sin(x)"),
+    "run": "𝑥≤𝛼_&amp;", "accent": _of("acc", _of("e", "𝑥"), chr="⃗"), "accent plain": _of("acc", _of("e", "𝑥")), "accent below": _of("acc", _of("e", "y"), chr="̰"),
+    "bar": _of("bar", _of("e", "x"), pos="top"), "bar below": _of("bar", _of("e", "x"), pos="bot"), "bar plain": _of("bar", _of("e", "x")),
+    "delimiter": _of("d", _of("e", "x"), begChr="[", endChr=""), "delimiter plain": _of("d", _of("e", "x")),
+    "sub": _of("sSub", _of("e", "x"), _of("sub", "i")), "sup": _of("sSup", _of("e", "x"), _of("sup", "2")), "both": _of("sSubSup", _of("e", "x"), _of("sub", "i"), _of("sup", "2")),
+    "fraction": _of("f", _of("num", "a"), _of("den", "b")), "fraction skewed": _of("f", _of("num", "a"), _of("den", "b"), type="skw"),
+    "fraction in line": _of("f", _of("num", "a"), _of("den", "b"), type="lin"), "fraction without bar": _of("f", _of("num", "a"), _of("den", "b"), type="noBar"),
+    "function": _of("func", _of("fName", "sin"), _of("e", "x")), "function unknown": _of("func", _of("fName", "log"), _of("e", "x")),
+    "group": _of("groupChr", _of("e", "x"), chr="⏞"), "group plain": _of("groupChr", _of("e", "x")),
+    "root": _of("rad", _of("deg", "3"), _of("e", "y")), "square root": _of("rad", _of("deg"), _of("e", "y")),
+    "equations": _of("eqArr", _of("e", "a"), _of("e", "b")), "limit": _of("limLow", _of("e", "lim"), _of("lim", "n→∞")), "limit unknown": _of("limLow", _of("e", "sup"), _of("lim", "n")),
+    "above": _of("limUpp", _of("e", "x"), _of("lim", "y")), "matrix": _of("m", _of("mr", _of("e", "a"), _of("e", "b")), _of("mr", _of("e", "c"), _of("e", "d"))),
+    "sum": _of("nary", _of("sub", "i"), _of("sup", "n"), _of("e", "i"), chr="∑"), "integral": _of("nary", _of("sub", "0"), _of("sup", "1"), _of("e", "x")),
+    "prescript": _of("sPre", _of("sub", "1"), _of("sup", "2"), _of("e", "x")), "nested": _of("f", _of("num", _of("rad", _of("deg"), _of("e", "𝜋"))), _of("den", _of("sSup", _of("e", "𝑟"), _of("sup", "2")))),
 }
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v[1]}')" for k, v in FORMULAS.items()) + ") t(name, latex)")
+@query(r"""
+SELECT * FROM (VALUES ('run', 'x\leq \alpha \_\&'), ('accent', '\vec{x}'), ('accent plain', '\hat{x}'), ('accent below', '\wideutilde{y}'),
+    ('bar', '\overline{x}'), ('bar below', '\underline{x}'), ('bar plain', '\overline{x}'), ('delimiter', '\left[x\right.'), ('delimiter plain', '\left(x\right)'),
+    ('sub', 'x_{i}'), ('sup', 'x^{2}'), ('both', 'x_{i}^{2}'), ('fraction', '\frac{a}{b}'), ('fraction skewed', '^{a}/_{b}'), ('fraction in line', '{a}/{b}'),
+    ('fraction without bar', '\genfrac{}{}{0pt}{}{a}{b}'), ('function', '\sin(x)'), ('function unknown', NULL), ('group', '\overbrace{x}'), ('group plain', '\underbrace{x}'),
+    ('root', '\sqrt[3]{y}'), ('square root', '\sqrt{y}'), ('equations', '\begin{array}{c}a\\b\end{array}'), ('limit', '\lim_{n\to \infty }'), ('limit unknown', NULL),
+    ('above', '\overset{y}{x}'), ('matrix', '\begin{matrix}a&b\\c&d\end{matrix}'), ('sum', '\sum_{i}^{n}i'), ('integral', '\int_{0}^{1}x'), ('prescript', ''),
+    ('nested', '\frac{\sqrt{\pi }}{r^{2}}')) t(name, latex)
+""")
 def omml_latex(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_code(spark)
-    rows = spark.createDataFrame([(k, v[0]) for k, v in FORMULAS.items()], "name string, xml string")
+    rows = spark.createDataFrame([(k, f"<m:oMath {_M}>{v if v.startswith('<') else _R.format(v)}</m:oMath>") for k, v in FORMULAS.items()], "name string, xml string")
     return rows.select("name", docx.omml_to_latex("xml")["latex"].alias("latex"))
 
 

@@ -59,7 +59,8 @@ R = "<m:r><m:t>{}</m:t></m:r>".format
         (f"<m:limUpp><m:e>{R('x')}</m:e><m:lim>{R('y')}</m:lim></m:limUpp>", "\\overset{y}{x}"),
         (f"<m:m><m:mr><m:e>{R('a')}</m:e><m:e>{R('b')}</m:e></m:mr></m:m>", "\\begin{matrix}a&b\\end{matrix}"),
         (f"<m:groupChr><m:e>{R('x')}</m:e></m:groupChr>", "\\underbrace{x}"),
-        (R("50%_α"), "50\\%\\_\\alpha "),
+        (R("50%_𝛼"), "50\\%\\_\\alpha "),
+        (R("𝜛≠≫∌ℎα×"), "\\varpi \\ne \\gg \\nni ℎα×"),
     ],
 )
 def test_formulas(inner, latex):
