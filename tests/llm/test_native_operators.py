@@ -2,10 +2,12 @@
 
 import collections
 import hashlib
+import math
 import re
 import zlib
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from leafmill.llm import chat_format, exact_dedup, mixing, quality_rules, sharding
@@ -267,3 +269,49 @@ def test_chat_takes_a_counter_of_tokens(spark):
     df = spark.createDataFrame([(1, i, "user", "a b c") for i in range(10)], "conv_id long, turn long, role string, text string")
     got = chat_format.windows(df, budget=16, history=0, tokens=lambda role, text: F.size(F.split(text, " "))).collect()
     assert sum(w.n_tokens for w in got) == 30 and max(w.n_tokens for w in got) <= 16
+
+
+def brute_scores(texts, trusted):
+    """Log-likelihood ratios of hashed 1- and 2-grams, with weights in millionths, as the docstring of quality_rules says."""
+    half = quality_rules.BUCKETS // 2
+
+    def signed(h):
+        return h - (1 << 64) if h >> 63 else h
+
+    def buckets(words):
+        one = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
+        two = [xxhash.xxh64_intdigest(w.encode(), h) for h, w in zip(one, words[1:], strict=False)]
+        return [signed(h) % half for h in one] + [signed(h) % half + half for h in two]
+
+    held = [buckets(WORD.findall(t)) for t in texts]
+    raw, good = collections.Counter(), collections.Counter()
+    for i, b in enumerate(held):
+        raw.update(b)
+        good.update(b if i in trusted else ())
+    n, t = sum(raw.values()) + quality_rules.BUCKETS, sum(good.values()) + quality_rules.BUCKETS
+    weight = {b: round((math.log((good[b] + 1) / t) - math.log((raw[b] + 1) / n)) * 1e6) for b in raw}
+    return [sum(weight[b] for b in x) / max(1, len(x)) / 1e6 for x in held]
+
+
+def test_the_ratio_alone_rejects_and_equals_brute_force(spark):
+    """Documents without a base failure: some like the trusted ones, some of other words."""
+    import random
+
+    rng = random.Random(6)
+    usual, other = [f"word{i}" for i in range(300)], [f"other{i}" for i in range(300)]
+    texts = [" ".join(rng.sample(usual, 80)) for _ in range(60)] + [" ".join(rng.sample(other, 80)) for _ in range(40)]
+    trusted = set(range(40))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i in trusted)) for i in range(50)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality_rules.apply_rules(df, labels).collect()}
+    counted = F.pmod(F.xxhash64("doc_id", F.lit("counted")), F.lit(2)) == 0
+    half = {r.doc_id for r in df.where(counted).collect()} & trusted
+    scores = brute_scores(texts, half)
+    known = [scores[i] for i in trusted - half]
+    mean = sum(known) / len(known)
+    deviation = (sum(x * x for x in known) / len(known) - mean**2) ** 0.5
+    threshold = mean - max(quality_rules.SPREAD * deviation, quality_rules.LEAST_MARGIN)
+    assert not any(r.base_failed for r in got.values())
+    for i, score in enumerate(scores):
+        assert got[i].score == pytest.approx(score, abs=1e-9)
+        assert got[i].kept == (score >= threshold) == (i < 60)
