@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,9 +111,29 @@ def owned_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.owned(jobs, _records(spark, sf_dir).withColumnRenamed("id", "job_id"), 7)
 
 
-@query("SELECT c_custkey AS user_id FROM customer WHERE lower(c_name) = 'customer#000000012' AND c_acctbal > 0")
+_LOGINS = [f"CUSTOMER#{n:09d}" for n in range(1, 21)]
+
+
+@query("SELECT c_custkey AS user_id FROM customer WHERE c_custkey BETWEEN 1 AND 20 AND c_acctbal > 0")
 def login_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.login(_users(spark, sf_dir), "CUSTOMER#000000012").select("user_id")
+    """Twenty users log in, by names in other letters than theirs; those that aren't active get nothing."""
+    return reduce(DataFrame.unionByName, [records.login(_users(spark, sf_dir), name) for name in _LOGINS]).select("user_id")
+
+
+@query(f"SELECT event_id FROM events JOIN customer ON c_custkey = user_id WHERE floor(epoch(ts)) + {7 * DAY} > {NOW} AND c_acctbal > 0")
+def valid_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events are sessions that last a week."""
+    expires = F.unix_timestamp(F.col("ts").cast("timestamp")) + 7 * DAY
+    sessions = table(spark, sf_dir, "events").select("event_id", "user_id", expires.alias("expires_at"))
+    return records.valid_sessions(sessions, _users(spark, sf_dir), F.lit(NOW)).select("event_id")
+
+
+@query("SELECT o_orderkey AS key_id FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'O' AND c_acctbal > 0")
+def valid_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders are keys, active while they are open."""
+    status = F.when(F.col("o_orderstatus") == "O", "active").otherwise("revoked")
+    keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key_id"), F.col("o_custkey").alias("user_id"), status.alias("status"))
+    return records.valid_keys(keys, _users(spark, sf_dir)).select("key_id")
 
 
 @query("SELECT o_orderkey AS job_id FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
