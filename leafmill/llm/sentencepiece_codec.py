@@ -269,6 +269,21 @@ def round_trip(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: s
     return docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(work, schema)
 
 
+def _ids(codec: Codec, texts: pa.Array) -> pa.ListArray:
+    """The ids of each text, the end id included."""
+    flat, bounds = bytearray(), array("i", [0])
+    for text in texts:
+        flat += b"".join(codec.encoded(text.as_py()))
+        flat += codec.end
+        bounds.append(len(flat) // 4)
+    return pa.ListArray.from_arrays(pa.array(np.frombuffer(bounds, dtype=np.int32)), pa.array(np.frombuffer(flat, dtype=np.int32)))
+
+
+def _texts(codec: Codec, ids: pa.ListArray) -> pa.Array:
+    """The text that each row's ids decode to."""
+    return pa.array([codec.decode(row.values.to_pylist() if row.is_valid else ()) for row in ids], type=pa.string())
+
+
 def encode_documents(docs: DataFrame, model: dict, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """docs with `ids_col`: the ids of each text with the end id. Null texts count as empty: their one id is the end id.
     A column of that name is replaced, all others stay; rows may repeat. No row, no result."""
@@ -276,12 +291,7 @@ def encode_documents(docs: DataFrame, model: dict, text_col: str = "text", ids_c
     def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = codec_of(model)
         for texts in batches:
-            flat, bounds = bytearray(), array("i", [0])
-            for text in texts:
-                flat += b"".join(codec.encoded(text.as_py()))
-                flat += codec.end
-                bounds.append(len(flat) // 4)
-            yield pa.ListArray.from_arrays(pa.array(np.frombuffer(bounds, dtype=np.int32)), pa.array(np.frombuffer(flat, dtype=np.int32)))
+            yield _ids(codec, texts)
 
     ship_code(docs.sparkSession)
     return docs.withColumn(ids_col, F.arrow_udf(work, "array<int>")(text_or_empty(text_col)))
@@ -294,12 +304,32 @@ def decode_documents(docs: DataFrame, model: dict, ids_col: str = "ids", text_co
     def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = codec_of(model)
         for ids in batches:
-            yield pa.array([codec.decode(row.values.to_pylist() if row.is_valid else ()) for row in ids], type=pa.string())
+            yield _texts(codec, ids)
 
     ship_code(docs.sparkSession)
     return docs.withColumn(text_col, F.arrow_udf(work, "string")(F.col(ids_col)))
 
 
+def code_documents(docs: DataFrame, model: dict, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """docs with `ids_col` and `decoded_col`: what encode_documents() and then decode_documents() give, from one pass in
+    one worker a task, where these two would hold a worker and a codec each. Null texts count as empty, columns of these
+    names are replaced, all others stay; rows may repeat. No row, no result."""
+
+    def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        codec = codec_of(model)
+        for texts in batches:
+            ids = _ids(codec, texts)
+            yield pa.StructArray.from_arrays([ids, _texts(codec, ids)], names=["ids", "decoded"])
+
+    ship_code(docs.sparkSession)
+    # both results in one column, of a name that docs hasn't
+    both = "coded"
+    while both in map(str.lower, docs.columns):
+        both += "_"
+    coded = docs.withColumn(both, F.arrow_udf(work, "struct<ids: array<int>, decoded: string>")(text_or_empty(text_col)))
+    return coded.withColumns({ids_col: F.col(f"{both}.ids"), decoded_col: F.col(f"{both}.decoded")}).drop(both)
+
+
 def default_model() -> dict:
     import public_tokenizers
 

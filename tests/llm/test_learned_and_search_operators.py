@@ -289,3 +289,14 @@ def test_segments_are_the_maximal_ones():
         got = toxicity.segments(x)
         assert [(a, b) for a, b, _ in got] == brute_segments(list(x))
         assert all(abs(s - x[a:b].sum()) < 1e-9 for a, b, s in got)
+
+
+def test_one_pass_codes_like_two(spark):
+    model = sentencepiece_codec.default_model()
+    rows = [(1, None, "x", [7], "A"), (2, "", None, None, "B"), (2, "", None, None, "B"), (3, "Hello  wörld\n ▁ 𝛼\x00", "y", [1], "C"), (None, "a " * 5000, "z", [1], "D")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, coded string, ids array<int>, decoded string")
+    one = sentencepiece_codec.code_documents(docs, model)
+    two = sentencepiece_codec.decode_documents(sentencepiece_codec.encode_documents(docs, model), model)
+    assert one.columns == two.columns == docs.columns
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+    assert sentencepiece_codec.code_documents(docs.limit(0), model).count() == 0
