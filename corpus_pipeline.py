@@ -31,8 +31,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with an end id, their number, and the digest of the text that the ids decode to."""
-    model = sentencepiece_codec.default_model()
-    coded = sentencepiece_codec.decode_documents(sentencepiece_codec.encode_documents(docs, model), model)
+    coded = sentencepiece_codec.code_documents(docs, sentencepiece_codec.default_model())
     return coded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
