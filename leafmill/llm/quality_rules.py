@@ -6,9 +6,9 @@ has. Weights are integers (millionths), so that sums don't depend on their order
 threshold: SPREAD standard deviations below the mean of the trusted documents' scores, or LEAST_MARGIN below it if that
 is lower. The margin is for large corpora, where trusted scores lie so close that a short clean text strays further.
 
-Trusted are the documents of quality 1 in a sample of the labels: at most TRUSTED_ROWS, of smallest hashed id. One half
-of them, by hash, gives the counts, and the other half the mean and the deviation, so that these tell how documents
-score that were not counted. Where a half is empty, all trusted documents give both.
+Trusted are all documents of quality 1, however many. One half of them, by hash, gives the counts, and the other half
+the mean and the deviation, so that these tell how documents score that were not counted. Where a half is empty, all
+trusted documents give both.
 """
 
 from __future__ import annotations
@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 from .shared import SPACE, SPACE_CHARS, text_or_empty, written
 
-BUCKETS, TRUSTED_ROWS, SPREAD, LEAST_MARGIN = 1 << 17, 20_000, 5.0, 0.15
+BUCKETS, SPREAD, LEAST_MARGIN = 1 << 17, 5.0, 0.15
+#: Bits of the bitmap that tells which ids can't be trusted: 1 MB.
+SLOTS = 1 << 23
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED = 50, 50
 UNIT = 1_000_000
@@ -104,6 +106,28 @@ def log_ratios(counts: DataFrame) -> DataFrame:
     return counts.select("bucket", F.round(ratio * UNIT).cast("long").alias("weight"))
 
 
+def marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text) with `trusted`: 1 where doc_id is in ids (trusted_id, no repeats), else 0.
+
+    There may be as many ids as rows, so that both meet in a shuffle. Rows whose hash no id has skip it: these are told
+    by a bitmap of SLOTS bits. The more ids, the fewer rows skip it; the result doesn't depend on how many do.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c, F.lit("slot")), F.lit(SLOTS))
+    either = F.lit(True)
+    kinds = {dict(docs.dtypes)["doc_id"], dict(ids.dtypes)["trusted_id"]}
+    if kinds in ({"bigint"}, {"int"}, {"string"}):  # equal ids have equal hashes
+        at = slot("trusted_id")
+        bits = ids.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+        docs = docs.join(F.broadcast(bits), F.bitmap_bucket_number(slot("doc_id")) == F.col("part"), "left")
+        place = F.bitmap_bit_position(slot("doc_id")).cast("int")
+        byte = F.conv(F.hex(F.substring("bits", F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
+        either = F.col("doc_id").isNotNull() & F.coalesce(F.getbit(byte, place % 8) == 1, F.lit(False))
+    docs = docs.select("doc_id", "text", either.alias("either"))
+    met = docs.where("either").join(ids.hint("merge"), F.col("doc_id") == F.col("trusted_id"), "left")
+    met = met.select("doc_id", "text", F.col("trusted_id").isNotNull().cast("int").alias("trusted"))
+    return met.unionByName(docs.where("not either").select("doc_id", "text", F.lit(0).alias("trusted")))
+
+
 def apply_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     kept, score.
@@ -114,15 +138,12 @@ def apply_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    sample = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED_ROWS)
-    # TRUSTED_ROWS ids at most, whatever the data
     counted = F.pmod(F.xxhash64("doc_id", F.lit("counted")), F.lit(2)) == 0
-    sample = F.broadcast(sample.select(F.col("doc_id").alias("trusted_id"), counted.alias("counted")))
-    halves = {r.counted for r in docs.join(sample, F.col("doc_id") == F.col("trusted_id")).select("counted").distinct().collect()}
+    # no bound on these, so they are shuffled, not broadcast
+    trusted = good.select(F.col("doc_id").alias("trusted_id"), counted.alias("counted")).hint("merge")
+    halves = {r.counted for r in docs.join(trusted, F.col("doc_id") == F.col("trusted_id")).select("counted").distinct().collect()}
     in_half = lambda first: (F.col("counted") == first) if len(halves) == 2 else F.col("trusted_id").isNotNull()
-    split = docs.join(sample, F.col("doc_id") == F.col("trusted_id"), "left").select(
-        words_of(text_or_empty("text")).alias("words"), F.coalesce(in_half(True), F.lit(False)).cast("int").alias("trusted")
-    )
+    split = marked(docs, trusted.where(in_half(True)).select("trusted_id")).select(words_of(text_or_empty("text")).alias("words"), "trusted")
     weights = written(log_ratios(written(bucket_counts(split), "counts")), "weights")
     rows = base_counts(docs).withColumn("row_no", F.monotonically_increasing_id())
     named = ["row_no", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -141,7 +162,7 @@ def apply_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         .drop("sum", "pairs")
     )
     scored = written(scored, "scores")
-    known = scored.join(sample.where(in_half(False)), F.col("doc_id") == F.col("trusted_id"), "left_semi").where("not base_failed")
+    known = scored.join(trusted.where(in_half(False)), F.col("doc_id") == F.col("trusted_id"), "left_semi").where("not base_failed")
     scaled = F.round(F.col("score") * UNIT).cast("decimal(20,0)")
     s = known.agg(F.count(F.lit(1)).alias("n"), F.sum(scaled).alias("x"), F.sum((scaled * scaled).cast("decimal(38,0)")).alias("xx")).first()
     threshold = -1e9

@@ -315,3 +315,39 @@ def test_the_ratio_alone_rejects_and_equals_brute_force(spark):
     for i, score in enumerate(scores):
         assert got[i].score == pytest.approx(score, abs=1e-9)
         assert got[i].kept == (score >= threshold) == (i < 60)
+
+
+def test_every_trusted_document_counts(spark):
+    """More labels of quality 1 than were once looked at, of few documents: each of these is counted or gives the threshold."""
+    import random
+
+    rng = random.Random(8)
+    usual, other = [f"word{i}" for i in range(200)], [f"other{i}" for i in range(200)]
+    texts = [" ".join(rng.sample(usual, 60)) for _ in range(90)] + [" ".join(rng.sample(other, 60)) for _ in range(30)]
+    trusted = set(range(60)) | set(range(90, 95))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.range(1_000, 60_000).union(spark.createDataFrame([(i,) for i in sorted(trusted)], "id long")).selectExpr("id AS doc_id", "1 AS quality")
+    labels = labels.union(labels.where("doc_id < 30"))  # repeated labels count once
+    counted = F.pmod(F.xxhash64("doc_id", F.lit("counted")), F.lit(2)) == 0
+    half = {r.doc_id for r in df.where(counted).collect()} & trusted
+    scores = brute_scores(texts, half)
+    known = [scores[i] for i in trusted - half]
+    mean = sum(known) / len(known)
+    deviation = (sum(x * x for x in known) / len(known) - mean**2) ** 0.5
+    threshold = mean - max(quality_rules.SPREAD * deviation, quality_rules.LEAST_MARGIN)
+    got = {r.doc_id: r for r in quality_rules.apply_rules(df, labels).collect()}
+    assert len(got) == len(texts)
+    for i, score in enumerate(scores):
+        assert got[i].score == pytest.approx(score, abs=1e-9)
+        assert got[i].kept == (score >= threshold)
+
+
+@pytest.mark.parametrize("slots", [8, 1 << 16, 1 << 23])
+def test_trusted_ids_are_found_whatever_the_bitmap_holds(spark, monkeypatch, slots):
+    monkeypatch.setattr(quality_rules, "SLOTS", slots)
+    ids = spark.range(0, 3_000, 3).withColumnRenamed("id", "trusted_id")
+    docs = spark.range(1_000).selectExpr("IF(id % 10 = 0, NULL, id - id % 2) AS doc_id", "CAST(id AS string) AS text")
+    for kind in ("long", "int", "string", "double"):  # ids of another type than the labels' have
+        got = quality_rules.marked(docs.withColumn("doc_id", F.col("doc_id").cast(kind)), ids).collect()
+        assert sorted(int(r.text) for r in got) == list(range(1_000))
+        assert all(r.trusted == int(r.doc_id is not None and float(r.doc_id) % 3 == 0) for r in got)
